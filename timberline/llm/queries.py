@@ -37,11 +37,45 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    # The rules are the base rules, so all spans are base spans.
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    turns = chat.with_probe(spark, _read(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_conversations(turns))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(_read(spark, sf_dir, "pages"), least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import impact_index
+
+    rows = _read(spark, sf_dir, "embeddings")
+    return impact_index.top_k(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_warc": op3_warc,
     "op4_shards": op4_shards,
+    "op5_topk": op5_topk,
     "op8_langid": op8_langid,
+    "op9_secrets": op9_secrets,
+    "op10_chat": op10_chat,
 }
 
 _OP2 = r"""
@@ -57,4 +91,73 @@ SELECT doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped,
 FROM lines LEFT JOIN hot ON lines.k = hot.k GROUP BY doc_id
 """
 
-ORACLES = {"op2_line_dedup": _OP2}
+
+_OP9_RULES = {
+    "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+}
+_OP9_LEAST = {"assign": (2, 8), "access": (0, 16), "hex": (0, 32)}
+
+
+def _op9_kind(rank: int, kind: str) -> str:
+    pattern = _OP9_RULES[kind].replace("'", "''")
+    group, least = _OP9_LEAST[kind]
+    return f"""
+    SELECT doc_id, {rank} AS rank, '{kind}' AS kind, start, start + n AS stop FROM (
+      SELECT doc_id, i, n, own,
+             sum(gap + n) OVER (PARTITION BY doc_id ORDER BY i) - n AS start
+      FROM (SELECT doc_id, i, length(list_extract(gaps, i)) AS gap, length(list_extract(hits, i)) AS n, length(list_extract(owns, i)) AS own
+            FROM (SELECT doc_id, gaps, hits, owns, unnest(range(1, len(hits) + 1)) AS i
+                  FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS hits,
+                               regexp_extract_all(text, '{pattern}', {group}) AS owns
+                        FROM documents WHERE regexp_matches(text, '{pattern}')))))
+    WHERE own >= {least}"""
+
+
+_OP9 = (
+    "WITH spans AS (" + " UNION ALL ".join(_op9_kind(i, k) for i, k in enumerate(_OP9_RULES)) + """),
+held AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS c,
+                string_agg(kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY start, rank) AS s
+         FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM documents d LEFT JOIN held h ON d.doc_id = h.doc_id"""
+)
+
+_OP10 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+_OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, body, strlen(body) AS n, max(page_id) OVER (PARTITION BY body) AS top, unhex(sha1(body))::BIT::VARCHAR AS bits FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+            + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM d
+"""
+
+ORACLES = {"op3_warc": _OP3, "op5_topk": _OP5, "op2_line_dedup": _OP2, "op9_secrets": _OP9, "op10_chat": _OP10}

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python kernel turns into Python objects at once.
-SLICE_BYTES = 8 << 20
+#: Bytes and rows that a Python kernel turns into Python objects at once.
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 20_000
 _DIRS: dict[str, list[str]] = {}
 _OWN: dict[str, str] = {}
 
@@ -49,14 +49,14 @@ def release(spark: SparkSession) -> None:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about `limit` bytes in `column` each; a longer value is alone."""
+    """Cut a batch into runs of rows with about `limit` bytes in `column`, and SLICE_ROWS rows, at most; a longer value is alone."""
     import numpy as np
     import pyarrow.compute as pc
 
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes.astype(np.int64)) // limit
+    group = np.cumsum(sizes.astype(np.int64) + limit // SLICE_ROWS) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:

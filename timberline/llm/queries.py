@@ -31,6 +31,18 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_read(spark, sf_dir, "documents"), 16)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_rtree
+
+    return jaccard_rtree.join(_read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tiling
+
+    return tiling.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -73,6 +85,8 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_shards": op4_shards,
     "op5_topk": op5_topk,
+    "op6_jaccard": op6_jaccard,
+    "op7_decontamination": op7_decontamination,
     "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,

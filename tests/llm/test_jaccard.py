@@ -102,7 +102,7 @@ def test_thinned_chains_connect_the_same():
         assert np.array_equal(got[0], whole[0]) and np.array_equal(got[1], whole[1])
 
 
-@pytest.mark.parametrize("bound", [100_000, 0])
+@pytest.mark.parametrize("bound", [100_000, 30, 0])
 def test_components(spark, monkeypatch, bound):
     monkeypatch.setattr(cc, "ONE_TASK_LINKS", bound)
     rng = np.random.default_rng(11)

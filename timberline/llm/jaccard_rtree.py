@@ -364,12 +364,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     member = salted_left_join(sets.withColumn("print", fingerprint), classes.select(fingerprint, "rep"), "print", F.col("key"))
     member = materialize(member.select("key", "n", "rep"), "members")
     rep_of = member.where("rep is not null").select("key", "rep").distinct()
-    ends = links.join(rep_of.withColumnsRenamed({"key": "a", "rep": "ra"}), "a").join(rep_of.withColumnsRenamed({"key": "b", "rep": "rb"}), "b")
-    family = materialize(components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "families")
+    # Copies share all keys, so the chains put a class into one family; families of one class are done.
+    family = components(links).join(rep_of.withColumnRenamed("key", "node"), "node").select(F.col("rep").alias("node"), "component").distinct()
+    family = materialize(family, "families")
 
     # Cells: a family of some blocks has a cell for each pair of blocks.
     inside = family.join(classes, family["node"] == classes["rep"]).select("node", F.col("component").alias("family"), "hi", "lo", "n")
-    blocks = inside.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = inside.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("classes"))
+    blocks = blocks.where("classes > 1").drop("classes")
     inside = inside.join(blocks, "family")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,10 @@ table gives an empty table; other columns of the input pass through, except ones
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -26,9 +28,9 @@ from pyspark.sql import types as T
 
 from .common import drop_clashing, slices, texts
 
-#: Longest piece that goes to a matrix; pieces that a worker remembers.
-MATRIX_BYTES = 256
-REMEMBERED = 200_000
+#: Longest piece that goes to a matrix, and rows of a matrix; pieces that a worker remembers.
+MATRIX_BYTES, MATRIX_ROWS = 256, 1 << 14
+REMEMBERED = 300_000
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -58,7 +60,10 @@ class Vocabulary:
             self.keys[slot[placed]], self.values[slot[placed]] = key[placed], rank[placed]
             waiting = np.setdiff1d(waiting, placed, assume_unique=True)
             slot[waiting] = (slot[waiting] + 1) & ((1 << self.bits) - 1)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Pieces()
+        self.spelled = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.spelled_bytes = np.array([len(t) for t in self.tokens], np.int64)
+        self.spelled_start = np.cumsum(self.spelled_bytes) - self.spelled_bytes
 
     def _hash(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
@@ -129,33 +134,70 @@ class Vocabulary:
             offer(i, after[i])
         return tuple(x for x in ids if x >= 0)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that aren't known yet."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        buckets: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces.difference(self.known):
+    def _ids(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """The ids of some pieces, which differ from each other."""
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        buckets: dict[int, list[tuple[int, bytes]]] = {}
+        for i, piece in enumerate(pieces):
             raw = piece.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                self.known[piece] = (whole,)
+                out[i] = (whole,)
             elif len(raw) > MATRIX_BYTES:
-                self.known[piece] = self.merge_heap(raw)
+                out[i] = self.merge_heap(raw)
             else:
-                buckets.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
+                buckets.setdefault((len(raw) - 1).bit_length(), []).append((i, raw))
         for members in buckets.values():
-            step = max(1, (1 << 22) // MATRIX_BYTES)
-            for a in range(0, len(members), step):
-                part = members[a : a + step]
-                self.known.update(zip((p for p, _ in part), self.merge_matrix([r for _, r in part])))
+            for at in range(0, len(members), MATRIX_ROWS):
+                part = members[at : at + MATRIX_ROWS]
+                for (i, _), ids in zip(part, self.merge_matrix([r for _, r in part])):
+                    out[i] = ids
+        return out
 
-    def encode(self, batch: list[str]) -> list[list[int]]:
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, ids): text i has ids[ends[i]:ends[i + 1]]. Each piece that a worker meets is encoded once while it remembers it."""
+        table = self.known
         pieces = [self.pattern.findall(t) for t in batch]
-        self.learn(set(chain.from_iterable(pieces)))
-        known = self.known
-        return [list(chain.from_iterable(map(known.__getitem__, p))) for p in pieces]
+        counts = np.array([len(p) for p in pieces], np.int64)
+        code = np.fromiter(map(table.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        if table.fresh:
+            table.add(self._ids(table.fresh))
+        start, size, ids = table.arrays()
+        lengths = size[code]
+        done = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(start[code] - done[:-1], lengths) + np.arange(done[-1])
+        if len(table) > REMEMBERED:
+            self.known = _Pieces()
+        return done[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32), ids[at]
+
+    def decode(self, ends: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, bytes) of what the ids spell."""
+        size = self.spelled_bytes[ids]
+        done = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.spelled_start[ids] - done[:-1], size) + np.arange(done[-1])
+        return done[ends].astype(np.int32), self.spelled[at]
+
+
+class _Pieces(dict):
+    """A number for each piece that was met, and the ids of the numbered pieces in one array."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+        self._size, self._ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = out = len(self)
+        self.fresh.append(piece)
+        return out
+
+    def add(self, found: list[tuple[int, ...]]) -> None:
+        self._size.append(np.array([len(x) for x in found], np.int64))
+        self._ids.append(np.fromiter(chain.from_iterable(found), np.int32))
+        self.fresh = []
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        for held in (self._size, self._ids):
+            held[:] = [np.concatenate(held)]
+        return np.cumsum(self._size[0]) - self._size[0], self._size[0], self._ids[0]
 
 
 _LOADED: dict[tuple[int, str], Vocabulary] = {}
@@ -170,6 +212,26 @@ def _vocabulary(raw: bytes, pattern: str) -> Vocabulary:
     return _LOADED[key]
 
 
+@contextmanager
+def _no_collection() -> Iterator[None]:
+    """Tuples and strings by the million have no cycles to look for."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+def _encoded(vocabulary: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    with _no_collection():
+        return vocabulary.encode([t.decode("utf-8", "replace") for t in texts(column)])
+
+
+def _decoded(vocabulary: Vocabulary, ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+    ends, spelled = vocabulary.decode(ends, ids)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(spelled)])
+
+
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add `ids`, an array of ints, to each row."""
     df = drop_clashing(df, "ids")
@@ -180,10 +242,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> D
         vocabulary = _vocabulary(shipped.value, pattern)
         for whole in batches:
             for batch in slices(whole, text):
-                found = vocabulary.encode([t.decode("utf-8", "replace") for t in texts(batch.column(text))])
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, flat)], names=[*batch.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(*_encoded(vocabulary, batch.column(text)))], names=[*batch.schema.names, "ids"])
 
     return df.mapInArrow(kernel, schema)
 
@@ -199,15 +258,34 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids") -> Dat
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
-                out = [vocabulary.decode(x or ()) for x in batch.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+                held = [x or () for x in batch.column(ids).to_pylist()]
+                ends = np.cumsum([0, *map(len, held)])
+                out = _decoded(vocabulary, ends, np.fromiter(chain.from_iterable(held), np.int64, int(ends[-1])))
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
+
+    return df.mapInArrow(kernel, schema)
+
+
+def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """Add `ids`, and `decoded` as those ids spell it; one pass, so that a worker holds one vocabulary."""
+    df = drop_clashing(df, "ids", "decoded")
+    shipped = df.sparkSession.sparkContext.broadcast(open(rank_path, "rb").read())
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())]
+    schema = T.StructType([*df.schema.fields, *added])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(shipped.value, pattern)
+        for whole in batches:
+            for batch in slices(whole, text):
+                ends, ids = _encoded(vocabulary, batch.column(text))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, ids), _decoded(vocabulary, ends, ids)], names=schema.names)
 
     return df.mapInArrow(kernel, schema)
 
 
 def digests(df: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, decode, and reduce both to digests: one row per document."""
-    done = decode(encode(df.select(key, text), rank_path, pattern, text).drop(text), rank_path, pattern)
+    done = round_trip(df.select(key, text), rank_path, pattern, text)
     return done.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),

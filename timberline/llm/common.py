@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows that a Python kernel turns into Python objects at once.
-SLICE_BYTES, SLICE_ROWS = 8 << 20, 20_000
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 20_000
 _DIRS: dict[str, list[str]] = {}
 _OWN: dict[str, str] = {}
 
@@ -61,6 +61,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -34,13 +34,14 @@ from .components import components, smallest_reachable
 
 #: Documents of the sample that decides which shingles come last, and how many of them must hold one; sets and shingles of a block.
 SAMPLE_DOCS, SAMPLE_HELD, BLOCK_SETS, BLOCK_SHINGLES = 8_000, 4, 2_048, 2_000_000
-LEAF, FAN = 32, 16
+#: Points of a leaf, leaves of a node; keys that a task unpacks at once.
+LEAF, FAN, MEET_KEYS = 32, 16, 400_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -171,7 +172,7 @@ def _emit_keys(docs: DataFrame, n: int, law: Law, buckets: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shipped.value
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 ids = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
                 sets = shingle_sets(texts(batch.column("text")), n)
                 prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">u8").reshape(-1, 2).astype(np.uint64)
@@ -224,7 +225,7 @@ def _meet(law: Law):
         fields = ["a", "b", "n", "hi", "lo"]
         none = lambda n: pa.nulls(n, pa.int64())
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
                 nodes = np.frombuffer(r["nodes"], np.int64)
                 if r["hi"] is not None:
                     cols = [nodes, None, *(np.frombuffer(r[c], np.int64) for c in ("sizes", "hi", "lo"))]
@@ -233,11 +234,17 @@ def _meet(law: Law):
                     a = np.frombuffer(r["keys"], np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(nodes), none(len(a)), none(len(a)), none(len(a))], names=fields)
                 else:
-                    entry, sizes = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["sizes"], np.int64)
-                    local = (entry & np.uint64(0xFFFF)).astype(np.int64)
-                    held.append((entry >> np.uint64(16), sizes[local], nodes[local]))
-        if held:
-            a, b = chains(*(np.concatenate(x) for x in zip(*held)), law)
+                    held.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["sizes"], np.int64), nodes))
+        # A part of the key space at a time, so that a partition needs little more memory than its packed rows.
+        parts = max(1, sum(len(e) for e, *_ in held) // MEET_KEYS)
+        for part in range(parts):
+            own = []
+            for entry, sizes, nodes in held:
+                local = (entry & np.uint64(0xFFFF)).astype(np.int64)
+                key = entry >> np.uint64(16)
+                here = slice(None) if parts == 1 else np.flatnonzero(key % np.uint64(parts) == part)
+                own.append((key[here], sizes[local[here]], nodes[local[here]]))
+            a, b = chains(*(np.concatenate(x) for x in zip(*own)), law) if own else ([], [])
             if len(a):
                 a, b = _star(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a)), none(len(a)), none(len(a))], names=fields)
@@ -354,7 +361,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     named = rows.where("key is not null")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = materialize(spread(_emit_keys(named, n, law, buckets), "bucket").mapInArrow(_meet(law), _UNPACKED), "sets-and-links")
+    met = materialize(_emit_keys(named, n, law, buckets).repartitionById(buckets, "bucket").mapInArrow(_meet(law), _UNPACKED), "sets-and-links")
     sets, links = met.where("b is null").select(F.col("a").alias("key"), "n", "hi", "lo"), met.where("b is not null").select("a", "b")
 
     # Classes of equal sets; what follows is between their representatives. Copies are salted.

@@ -37,7 +37,7 @@ def features(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start = np.cumsum(lengths) - lengths
     left = np.repeat(start + lengths, lengths) - np.arange(len(points))
     found, owner = [], []
-    docs = np.repeat(np.arange(len(batch)), lengths)
+    docs = np.repeat(np.arange(len(batch), dtype=np.int32), lengths)
     value = np.zeros(len(points), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         value = value[: len(points) - n + 1] * np.uint64(0x100000001B3) + points[n - 1 :]
@@ -89,7 +89,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shipped.value
         for whole in batches:
-            for batch in slices(whole, text, 2 << 20):
+            for batch in slices(whole, text, 1 << 20):
                 docs = [t.decode("utf-8", "replace") for t in texts(batch.column(text))]
                 found, owner = features(docs)
                 total = np.stack([np.bincount(owner, row[found], len(docs)) for row in matrix]) if names else np.zeros((1, len(docs)))

@@ -136,7 +136,6 @@ def thin(key: np.ndarray, size: np.ndarray, node: np.ndarray, law: Law) -> np.nd
 
 
 _PACKED = "bucket int, keys binary, nodes binary, sizes binary, hi binary, lo binary"
-_UNPACKED = "a long, b long, n long, hi long, lo long"
 
 
 def _packed(bucket: int, keys=None, nodes=None, sizes=None, hi=None, lo=None) -> dict:
@@ -217,41 +216,60 @@ def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[nodes != low], low[nodes != low]
 
 
-def _meet(law: Law):
-    """Unpack sets' sizes and links, and chain the holders of each key of a partition."""
+def _meet(law: Law, buckets: int):
+    """Pass sets' sizes on, and chain the holders of each key of a partition; the links come out packed, by the bucket of their smaller node."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        fields = ["a", "b", "n", "hi", "lo"]
-        none = lambda n: pa.nulls(n, pa.int64())
+        links: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for r in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
                 nodes = np.frombuffer(r["nodes"], np.int64)
                 if r["hi"] is not None:
-                    cols = [nodes, None, *(np.frombuffer(r[c], np.int64) for c in ("sizes", "hi", "lo"))]
-                    yield pa.RecordBatch.from_arrays([none(len(nodes)) if c is None else pa.array(c) for c in cols], names=fields)
+                    yield pa.RecordBatch.from_pylist([r], schema=_PACKED_ARROW)
                 elif r["sizes"] is None:
-                    a = np.frombuffer(r["keys"], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(nodes), none(len(a)), none(len(a)), none(len(a))], names=fields)
+                    links.append((np.frombuffer(r["keys"], np.int64), nodes))
                 else:
                     held.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["sizes"], np.int64), nodes))
         # A part of the key space at a time, so that a partition needs little more memory than its packed rows.
         parts = max(1, sum(len(e) for e, *_ in held) // MEET_KEYS)
-        for part in range(parts):
+        for part in range(parts if held else 0):
             own = []
             for entry, sizes, nodes in held:
                 local = (entry & np.uint64(0xFFFF)).astype(np.int64)
                 key = entry >> np.uint64(16)
                 here = slice(None) if parts == 1 else np.flatnonzero(key % np.uint64(parts) == part)
                 own.append((key[here], sizes[local[here]], nodes[local[here]]))
-            a, b = chains(*(np.concatenate(x) for x in zip(*own)), law) if own else ([], [])
-            if len(a):
-                a, b = _star(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a)), none(len(a)), none(len(a))], names=fields)
+            links.append(chains(*(np.concatenate(x) for x in zip(*own)), law))
+            links = [_star(*(np.concatenate(x) for x in zip(*links)))]
+        if links:
+            a, b = _star(*(np.concatenate(x) for x in zip(*links)))
+            bucket = (mix(b.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            a, b, cuts = a[by], b[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+            rows = [_packed(p, keys=a[cuts[p] : cuts[p + 1]], nodes=b[cuts[p] : cuts[p + 1]]) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_PACKED_ARROW)
 
     return kernel
 
 
+def _unpack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], np.int64)) for c in ("nodes", "sizes", "hi", "lo")], names=["key", "n", "hi", "lo"])
+
+
+def _unpack_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links that met in a bucket, contracted; after each batch, so that repeats don't pile up."""
+    a = b = np.zeros(0, np.int64)
+    for batch in batches:
+        got = [(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["nodes"], np.int64)) for r in batch.to_pylist()]
+        a, b = _star(*(np.concatenate(x) for x in zip((a, b), *got)))
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 class RTree:
     """Points in leaves of LEAF, leaves in nodes of FAN; each box is held by its upper corner and its range of set sizes."""
 
@@ -361,8 +379,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     named = rows.where("key is not null")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = materialize(_emit_keys(named, n, law, buckets).repartitionById(buckets, "bucket").mapInArrow(_meet(law), _UNPACKED), "sets-and-links")
-    sets, links = met.where("b is null").select(F.col("a").alias("key"), "n", "hi", "lo"), met.where("b is not null").select("a", "b")
+    met = materialize(_emit_keys(named, n, law, buckets).repartitionById(buckets, "bucket").mapInArrow(_meet(law, buckets), _PACKED), "sets-and-links")
+    sets = met.where("hi is not null").select("nodes", "sizes", "hi", "lo").mapInArrow(_unpack_sets, "key long, n long, hi long, lo long")
+    links = met.where("hi is null").select("bucket", "keys", "nodes").repartitionById(buckets, "bucket").mapInArrow(_unpack_links, "a long, b long")
 
     # Classes of equal sets; what follows is between their representatives. Copies are salted.
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("key").alias("rep"), F.min("n").alias("n"))

@@ -42,14 +42,17 @@ def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     hop = nodes.select("tree", "node", "parent", F.col("score").cast("double").alias("score"))
     hop = hop.join(parent, (hop["tree"].eqNullSafe(parent["tree"])) & (hop["parent"] == parent["up"]), "left").select(hop["tree"], "node", "up", F.lit(0).cast("long").alias("depth"), "score")
     # up: the node 2^k replies above, null beyond the root; depth and score: of the stretch up to there, without it.
+    # up: the node 2^k replies above, null beyond the root; depth and score: of the stretch up to there, without it.
+    # A node that has reached its root takes no part in later rounds, but others look it up.
     hop = materialize(hop.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long")), "hops")
-    jumps, total = [hop.select("tree", "node", "up")], nodes.count()
-    while (2 ** (len(jumps) - 1)) <= total and not hop.where("up is not null").isEmpty():
-        above = hop.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        hop = hop.join(above, hop["tree"].eqNullSafe(above["t"]) & (hop["up"] == above["n"]), "left")
-        hop = materialize(hop.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")), "hops")
-        jumps.append(hop.select("tree", "node", "up"))
-    rooted = hop.where("up is null")
+    rooted, jumps, total = hop.where("up is null"), [hop.where("up is not null")], nodes.count()
+    while 2 ** (len(jumps) - 1) <= total and not jumps[-1].isEmpty():
+        above = jumps[-1].unionByName(rooted).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
+        hop = jumps[-1].join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        hop = materialize(hop.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")), "hops")
+        rooted = rooted.unionByName(hop.where("up is null"))
+        jumps.append(hop.where("up is not null"))
+    jumps = [j.select("tree", "node", "up") for j in jumps]
     leaf = rooted.join(jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("p")).where("p is not null").distinct(), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
     marked = leaf.withColumn("path", rank).where(F.col("path") <= keep).select("tree", "path", "node")

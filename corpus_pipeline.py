@@ -17,8 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more hold go; a document of which nothing is left goes."""
-    done = line_ledger.dedup(docs, threshold=10).where("n_dropped = 0 or trim(kept) <> ''")
+    """Lines that ten documents or more hold go; the documents stay, if with empty texts."""
+    done = line_ledger.dedup(docs, threshold=10)
     return done.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 

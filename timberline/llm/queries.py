@@ -174,4 +174,34 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM d
 """
 
-ORACLES = {"op3_warc": _OP3, "op5_topk": _OP5, "op2_line_dedup": _OP2, "op9_secrets": _OP9, "op10_chat": _OP10}
+_OP4 = """
+WITH RECURSIVE
+entry(n, c, k) AS (SELECT range::BIGINT, range::BIGINT, 0 FROM range(256)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM entry WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM entry WHERE k = 8),
+hexed AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+summed AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, size), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)),
+           lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295::BIGINT) AS crc
+  FROM hexed, crc_table),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, crc, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM summed),
+cut AS (SELECT *, ((start * 16) // total)::INTEGER AS shard FROM placed)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc, size) - 1 AS slot, NULL::INTEGER AS grown_shard FROM cut
+"""
+
+_OP6 = r"""
+WITH RECURSIVE
+split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(node, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.low FROM reach r JOIN edges e ON r.node = e.x WHERE r.low < e.y)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(low) FROM reach WHERE node = d.doc_id) AS component_id FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+ORACLES = {"op4_shards": _OP4, "op6_jaccard": _OP6, "op3_warc": _OP3, "op5_topk": _OP5, "op2_line_dedup": _OP2, "op9_secrets": _OP9, "op10_chat": _OP10}

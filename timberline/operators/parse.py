@@ -36,8 +36,8 @@ def _text(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-def describe(lexer: Lexer, data: bytes, event: Event, base: int, line: int, outputs: tuple[str, ...]) -> dict:
-    """The chosen outputs of an event; base and line: where the data starts in its source."""
+def describe(lexer: Lexer, data: bytes, event: Event, base: int, line: int, outputs: tuple[str, ...], rules: frozenset[str] | None = None) -> dict:
+    """The chosen outputs of an event; base and line: where the data starts in its source; rules: only tokens of these."""
     out: dict = {"byte_start": base + event.start, "byte_end": base + event.end, "line_start": line}
     if "raw" in outputs:
         out["raw"] = _text(data[event.start : event.end])
@@ -53,22 +53,25 @@ def describe(lexer: Lexer, data: bytes, event: Event, base: int, line: int, outp
         tokens = []
         for pos, t in enumerate(event.tokens):
             names = [lexer.names[r] for r in t.rules]
+            if rules is not None and (not names or names[0] not in rules):
+                continue
             found = [{"name": c.name, "byte_start": base + c.start, "byte_end": base + c.end, "text": _text(data[c.start : c.end]), "leaf": c.leaf} for c in lexer.captures_of(data, t)]
             tokens.append({"pos": pos, "text": _text(data[t.start : t.end]), "rule": names[0] if names else None, "rules": names, "byte_start": base + t.start, "byte_end": base + t.end, "line": line + data.count(b"\n", event.start, t.start), "captures": found})
         out["tokens"] = tokens
     return out
 
 
-def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = OUTPUTS) -> DataFrame:
+def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = OUTPUTS, rules: list[str] | None = None) -> DataFrame:
     """A row for each event of each row's text, which is a whole input; with the columns of `keep` and the outputs asked for.
 
-    Only what `outputs` names is computed. A null text has no events.
+    Only what `outputs` names is computed, and `tokens` has only those of the named rules where `rules` is given: Catalyst can't look into the
+    kernel, so what a query doesn't need is left out here. A null text has no events.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     lexer, wanted = Lexer(schema), tuple(c for c in OUTPUTS if c in outputs)
     made = T.StructType([f for f in EVENT.fields if f.name in wanted])
     result = T.StructType([*(df.schema[c] for c in keep), *made.fields])
-    arrow = to_arrow(made)
+    arrow, chosen = to_arrow(made), None if rules is None else frozenset(rules)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -78,7 +81,7 @@ def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: lis
                 for i, data in enumerate(batch.column(text).cast(pa.binary()).to_pylist()):
                     line = 0
                     for n, event in enumerate(lexer.events(data or b"")):
-                        rows.append(describe(lexer, data, event, 0, line, wanted) | {"event_idx": n})
+                        rows.append(describe(lexer, data, event, 0, line, wanted, chosen) | {"event_idx": n})
                         owner.append(i)
                         line += data.count(b"\n", event.start, event.end)
                 if rows:
@@ -89,6 +92,12 @@ def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: lis
     return df.select(*keep, text).mapInArrow(kernel, result)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores is dealt out to all of them; a larger one is read as it lies, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def variables(events: DataFrame, rule: str | None = None) -> DataFrame:
     """A row for each variable token of events with `tokens`: their other columns, and the token's fields. rule: only this one."""
     held = F.filter("tokens", lambda t: (t["rule"] == rule) if rule else t["rule"].isNotNull() & (t["rule"] != "newLine"))

@@ -13,7 +13,7 @@ from .plans.schema import LogSchema
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return parse.dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 LINES = LogSchema.parse(r"""delimiters: \n
@@ -64,13 +64,13 @@ def doc_tokens_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_tokens_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same tokens by the kernel; in events, a line feed before a variable is a static token of its own."""
-    events = parse.parse_column(_table(spark, sf_dir, "documents"), NUMBERS, keep=["doc_id"], outputs=("tokens",))
-    found = events.select("doc_id", F.explode("tokens").alias("t")).where("t.rule is not null")
+    events = parse.parse_column(_table(spark, sf_dir, "documents"), NUMBERS, keep=["doc_id"], outputs=("tokens",), rules=["newLine", *NUMBERS.names])
+    found = events.select("doc_id", F.explode("tokens").alias("t"))
     return found.groupBy("t.rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def doc_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = parse.parse_column(_table(spark, sf_dir, "documents"), NUMBERS, keep=["doc_id"], outputs=("tokens",))
+    events = parse.parse_column(_table(spark, sf_dir, "documents"), NUMBERS, keep=["doc_id"], outputs=("tokens",), rules=["int"])
     return parse.variables(events, "int").select("doc_id", parse.without_delimiter(F.col("text"), NUMBERS).alias("text"))
 
 

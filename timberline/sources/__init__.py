@@ -1,5 +1,6 @@
 """Reading logs."""
 
-from .logs import read_logs
+from .logs import read_logs, write_raw
+from .split import read_split
 
-__all__ = ["read_logs"]
+__all__ = ["read_logs", "read_split", "write_raw"]

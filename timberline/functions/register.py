@@ -1,8 +1,9 @@
-"""Register SQL functions for a schema: logtype(text), and the table function log_parse(text)."""
+"""Register SQL functions for a schema: logtype(text), log_tokens(text), and the table function log_parse(text)."""
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..plans.schema import LogSchema
 
 
 def register(spark: SparkSession, schema: LogSchema, prefix: str = "") -> None:
-    """logtype takes a text of one event; log_parse gives (event_idx, raw, timestamp, is_multiline, logtype) of each event of a text."""
+    """logtype and log_tokens, array<struct<text, rule>>, take a text of one event; log_parse gives (event_idx, raw, timestamp, is_multiline, logtype) of each event of a text."""
     lexer = Lexer(schema)
 
     def one(text: str | None) -> str | None:
@@ -24,6 +25,16 @@ def register(spark: SparkSession, schema: LogSchema, prefix: str = "") -> None:
     def logtype(texts: pd.Series) -> pd.Series:
         return texts.map(one)
 
+    def pieces(text: str | None) -> list[dict] | None:
+        if text is None:
+            return None
+        data = text.encode()
+        return [{"text": data[t.start : t.end].decode("utf-8", "replace"), "rule": lexer.names[t.rules[0]] if t.rules else None} for e in lexer.events(data) for t in e.tokens]
+
+    @F.arrow_udf("array<struct<text:string,rule:string>>")
+    def log_tokens(texts: pa.Array) -> pa.Array:
+        return pa.array([pieces(t) for t in texts.to_pylist()], pa.list_(pa.struct([("text", pa.string()), ("rule", pa.string())])))
+
     class LogParse:
         def eval(self, text: str):
             data = (text or "").encode()
@@ -31,4 +42,5 @@ def register(spark: SparkSession, schema: LogSchema, prefix: str = "") -> None:
                 yield n, data[e.start : e.end].decode("utf-8", "replace"), lexer.timestamp(data, e), lexer.is_multiline(data, e), lexer.logtype(data, e).decode("utf-8", "replace")
 
     spark.udf.register(f"{prefix}logtype", logtype)
+    spark.udf.register(f"{prefix}log_tokens", log_tokens)
     spark.udtf.register(f"{prefix}log_parse", F.udtf(LogParse, returnType="event_idx long, raw string, timestamp string, is_multiline boolean, logtype string"))

@@ -111,6 +111,39 @@ def capture(name: str, rule: str | None = None) -> Column:
     return F.try_element_at(found, F.lit(1))["text"]
 
 
+POSITIONS = "name string, starts array<long>, ends array<long>"
+
+
+def capture_positions(df: DataFrame, schema: LogSchema, rule: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """A row for each capture of each token of a rule, in each row's text: the columns of `keep`, event_idx, pos (of the token) and all positions.
+
+    starts and ends hold the newest round of a repetition first, and -1 for a round or an alternative that skipped the capture.
+    """
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+    lexer = Lexer(schema)
+    wanted = lexer.names.index(rule)
+    made = T.StructType.fromDDL("event_idx long, pos int, " + POSITIONS)
+    result = T.StructType([*(df.schema[c] for c in keep), *made.fields])
+    arrow = to_arrow(made)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, owner = [], []
+            for i, data in enumerate(batch.column(text).cast(pa.binary()).to_pylist()):
+                for n, event in enumerate(lexer.events(data or b"")):
+                    for pos, t in enumerate(event.tokens):
+                        if t.rules and t.rules[0] == wanted:
+                            for name, own in lexer.positions_of(data, t):
+                                rows.append({"event_idx": n, "pos": pos, "name": name, "starts": [a for a, _ in own], "ends": [b for _, b in own]})
+                                owner.append(i)
+            if rows:
+                taken = pa.array(owner, pa.int64())
+                columns = [pa.array([r[f.name] for r in rows], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in keep), *columns], names=result.names)
+
+    return df.select(*keep, text).mapInArrow(kernel, result)
+
+
 def without_delimiter(token: Column, schema: LogSchema) -> Column:
     """A variable's text without the delimiter before it."""
     return F.ltrim(token) if schema.delimiters == " " else F.when(F.substring(token, 1, 1).isin(*schema.delimiters), F.substring(token, 2, 2**31 - 1)).otherwise(token)

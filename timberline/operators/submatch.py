@@ -1,0 +1,96 @@
+"""All positions of a rule's captures, round by round of its repetitions."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+from ..plans import regex
+
+NEGATED = (-1, -1)
+
+
+def _children(tree) -> list:
+    return {"set": lambda: [], "cat": lambda: tree[1], "alt": lambda: tree[1], "cap": lambda: [tree[2]], "rep": lambda: [tree[1]]}[tree[0]]()
+
+
+def repeats_captures(tree) -> bool:
+    """Whether a capture stands in a repetition."""
+    if tree[0] == "rep":
+        return bool(regex.captures(tree))
+    return any(map(repeats_captures, _children(tree)))
+
+
+class Submatcher:
+    """Matches a pattern against texts that it is known to match.
+
+    Python's re keeps the position of a group's last round, though later rounds skip the group. Here each round of a repetition is matched anew, and
+    a capture that a round or the taken alternative skips is noted as negated.
+    """
+
+    def __init__(self, tree):
+        self.tree, self.names = tree, regex.captures(tree)
+        self.compiled: dict[tuple, re.Pattern] = {}
+
+    def positions(self, data: bytes, start: int, end: int) -> list[list[tuple[int, int]]]:
+        """For each capture, inner before outer, its (start, end) or NEGATED, the newest first."""
+        out: list[list[tuple[int, int]]] = [[] for _ in self.names]
+        for n, span in self._walk(self.tree, 0, data, start, end):
+            out[n].insert(0, span)
+        return out
+
+    def _groups(self, key: tuple, parts: list[str], data: bytes, start: int, end: int) -> re.Match | None:
+        if key not in self.compiled:
+            self.compiled[key] = re.compile("".join(parts).encode(), re.S)
+        return self.compiled[key].fullmatch(data, start, end)
+
+    def _walk(self, tree, first: int, data: bytes, start: int, end: int) -> Iterator[tuple[int, tuple[int, int]]]:
+        """first: number of the tree's first capture."""
+        own = len(regex.captures(tree))
+        if not own:
+            return
+        kind = tree[0]
+        if kind == "cap":
+            yield from self._walk(tree[2], first, data, start, end)
+            yield first + own - 1, (start, end)
+        elif kind in ("cat", "alt"):
+            groups = [f"({_plain(p)})" for p in tree[1]]
+            found = self._groups((id(tree), kind), groups if kind == "cat" else ["|".join(groups)], data, start, end)
+            for g, part in enumerate(tree[1], 1):
+                if found is not None and found.span(g)[0] >= 0:
+                    yield from self._walk(part, first, data, *found.span(g))
+                else:
+                    yield from _negated(part, first)
+                first += len(regex.captures(part))
+        elif tree[2] == 0 and start == end:
+            yield from _negated(tree, first)
+        else:
+            part, at, rounds = _plain(tree[1]), start, 0
+            while True:
+                least, most = max(0, tree[2] - rounds - 1), "" if tree[3] is None else tree[3] - rounds - 1
+                found = self._groups((id(tree), least, most), [f"({part})(?:{part}){{{least},{most}}}"], data, at, end)
+                if found is None:
+                    return
+                yield from self._walk(tree[1], first, data, at, found.end(1))
+                rounds += 1
+                if found.end(1) in (at, end):
+                    return
+                at = found.end(1)
+
+
+def _plain(tree) -> str:
+    """The language for re, without groups of its own."""
+    if tree[0] == "cap":
+        return f"(?:{_plain(tree[2])})"
+    if tree[0] == "set":
+        return regex.to_re(tree, [])
+    if tree[0] == "cat":
+        return "".join(map(_plain, tree[1]))
+    if tree[0] == "alt":
+        return f"(?:{'|'.join(map(_plain, tree[1]))})"
+    return f"(?:{_plain(tree[1])}){{{tree[2]},{'' if tree[3] is None else tree[3]}}}"
+
+
+def _negated(tree, first: int) -> Iterator[tuple[int, tuple[int, int]]]:
+    for n in range(len(regex.captures(tree))):
+        yield first + n, NEGATED

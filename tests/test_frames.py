@@ -43,6 +43,17 @@ def test_native_tokens_are_the_kernels(spark):
         assert got[i] == [(data[x.start : x.end].decode(), lexer.names[x.rules[0]] if x.rules else None) for x, _ in lexer.scan(data)]
 
 
+def test_native_templates_are_the_kernels(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "id long, text string")
+    got = {r.id: r.t for r in df.select("id", native.template("text", queries.NUMBERS).alias("t")).collect()}
+    lexer = Lexer(queries.NUMBERS)
+    for i, t in enumerate(ODD):
+        data = t.encode()
+        assert got[i] == b"".join(lexer.logtype(data, e) for e in lexer.events(data)).decode()
+    with pytest.raises(native.NotNative):
+        native.template("text", queries.PROPS)
+
+
 @pytest.mark.parametrize("schema", [queries.LINES, LogSchema(" ").with_rule("a:b c"), LogSchema(" "), LogSchema(" ").with_rule("a:[^ \\n]{3}")])
 def test_what_needs_the_kernel(schema):
     with pytest.raises(native.NotNative):

@@ -72,3 +72,16 @@ def tokens(text: str, schema: LogSchema) -> Column:
         return F.when(rule.isNull() & chunk.startswith("\n"), split).otherwise(F.array(token(chunk, rule)))
 
     return F.flatten(F.transform(chunks, named))
+
+
+def template(text: str, schema: LogSchema) -> Column:
+    """The log types of a text's events, joined, for schemas without captures: static text as it is, variables as their rule's name."""
+    if any(schema.capture_names(n) for n in schema.names):
+        raise NotNative("a rule has captures")
+    opened = f"\\A[{delimiter_class(schema)}]"
+
+    def shown(t: Column) -> Column:
+        before = F.when(t["text"].rlike(opened), F.substring(t["text"], 1, 1)).otherwise("")
+        return F.when(t["rule"].isNull(), t["text"]).when(t["rule"] == "newLine", "<newLine>").otherwise(F.concat(before, F.lit("<"), t["rule"], F.lit(">")))
+
+    return F.array_join(F.transform(tokens(text, schema), shown), "")

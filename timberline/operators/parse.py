@@ -92,10 +92,13 @@ def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: lis
     return df.select(*keep, text).mapInArrow(kernel, result)
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """A table of fewer files than there are cores is dealt out to all of them; a larger one is read as it lies, without a shuffle."""
+def dealt(df: DataFrame, per_core: int = 128 << 20) -> DataFrame:
+    """A table of fewer files than there are cores is dealt out to all of them, if it has no more than per_core bytes for each. A larger one is read as
+    it lies, without a shuffle: its files split.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if held <= cores * per_core and len(df.inputFiles()) < cores else df
 
 
 def variables(events: DataFrame, rule: str | None = None) -> DataFrame:

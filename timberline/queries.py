@@ -36,6 +36,20 @@ url:https{0,1}://(?<host>[^/\n]+)/(?<path>(?<lang>[a-z]+)/(?<id>\d+))[^\n]*
 FLAGS = LogSchema(" ").with_rule(r"int:\d+").with_rule(r"hasNumber:[A-Za-z]*\d+[A-Za-z]*")
 
 
+PLAIN_LINES = LogSchema.parse(r"""delimiters: \n
+header:(?<timestamp>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6})
+user:user_(?<userID>\d+)
+amount:value=(?<val>-{0,1}\d+\.\d+)
+props:props=\{"k": (?<k>\d+)\}
+""")
+PROPS = LogSchema("\n").with_rule(r'props:\{"k": (?<k>\d+)\}')
+SPANS = LogSchema(" \n").with_rule(r"span:user_\d+ value=-{0,1}\d+\.\d+")
+PRIORITY = LogSchema(" \n").with_rule(r"even:\d*[02468]").with_rule(r"int:\d+").with_rule("word:[a-z]+")
+DIGITS = LogSchema("\n").with_rule(r"two:(?<tens>\d){0,1}(?<ones>\d)")
+TWICE = LogSchema("\n").with_rule(r"header:(?<timestamp>\d{4}-\d{2}-\d{2}) (?<timestamp>\d{2}:\d{2})")
+FIELDS = LogSchema("\n").with_rule(r"fields:((?<key>[a-z]+)=(?<val>\d+);)+")
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, text): a log line for each row of events."""
     e = _table(spark, sf_dir, "events")
@@ -105,8 +119,71 @@ def schema_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wildcard.schema_types(spark, ["*1*", "*a*", "*a1*", "*=*", "abc123", "=", "1", "a*1", "a1"], FLAGS)
 
 
+def logtype_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = parse.logtype_counts(parse.parse_column(event_lines(spark, sf_dir), PLAIN_LINES, keep=[], outputs=("logtype",)))
+    return counts.orderBy(F.desc("n"), "logtype").limit(3)
+
+
+def doc_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's log types, joined; in Catalyst expressions alone."""
+    made = _table(spark, sf_dir, "documents").select("doc_id", native.template("text", NUMBERS).alias("t"))
+    return made.select("doc_id", F.length("t").cast("long").alias("template_chars"), F.sha2("t", 256).alias("template_sha256"))
+
+
+def multiline_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are followed by two lines of frames."""
+    frames = F.when(F.col("event_type") == "error", F.lit("\n#0 frame\n#1 frame")).otherwise("")
+    lines = event_lines(spark, sf_dir).withColumn("text", F.concat("text", frames))
+    events = parse.parse_column(lines, LINES, keep=["event_id"], outputs=("raw", "is_multiline"))
+    return parse.multiline(events).select("event_id", F.length("raw").cast("long").alias("chars"))
+
+
+def props_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = parse.parse_column(_table(spark, sf_dir, "events"), PROPS, "props", ["event_id"], ("logtype", "tokens"))
+    return events.select("event_id", parse.capture("k").cast("long").alias("k"), "logtype")
+
+
+def delim_spanning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A variable over a delimiter."""
+    events = parse.parse_column(event_lines(spark, sf_dir), SPANS, keep=["event_id"], outputs=("tokens",), rules=["span"])
+    return parse.variables(events, "span").select("event_id", parse.without_delimiter(F.col("text"), SPANS).alias("text"))
+
+
+def rule_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule gives a token its type; all that match are listed."""
+    lines = _table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("text"))
+    found = parse.variables(parse.parse_column(lines, PRIORITY, outputs=("tokens",)))
+    return found.select("event_id", "pos", "rule", F.array_join("rules", ",").alias("rules"))
+
+
+def optional_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 100).cast("string").alias("text"))
+    events = parse.parse_column(lines, DIGITS, outputs=("logtype", "tokens"))
+    return events.select("event_id", parse.capture("tens").alias("tens"), parse.capture("ones").alias("ones"), "logtype")
+
+
+def header_first_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two timestamps in a header, the first counts."""
+    lines = _table(spark, sf_dir, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("\nrest")).alias("text"))
+    return parse.parse_column(lines, TWICE, outputs=("timestamp", "logtype"))
+
+
+def repeated_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All positions of captures under a repetition, the newest first."""
+    text = F.concat(F.lit("id="), F.col("user_id").cast("string"), F.lit(";v="), F.length("props").cast("string"), F.lit(";"))
+    found = parse.capture_positions(_table(spark, sf_dir, "events").select("event_id", text.alias("text")), FIELDS, "fields")
+    return found.select("event_id", "name", F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"), F.array_join(F.col("ends").cast("array<string>"), ",").alias("ends"))
+
+
+def hourly_logtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and log type, with a total for each hour."""
+    events = parse.parse_column(event_lines(spark, sf_dir), PLAIN_LINES, keep=[], outputs=("timestamp", "logtype"))
+    return events.rollup(F.substring("timestamp", 1, 13).alias("hour"), "logtype").agg(F.count("*").alias("n")).where("hour IS NOT NULL")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (synth_roundtrip, logtype_counts, doc_events, doc_tokens_by_rule, doc_tokens_kernel, doc_variables, conv_multiline, url_captures, wildcard_search, interpretations, schema_types)
+    f.__name__: f for f in (synth_roundtrip, logtype_counts, doc_events, doc_tokens_by_rule, doc_tokens_kernel, doc_variables, conv_multiline, url_captures, wildcard_search, interpretations, schema_types,
+        logtype_topk, doc_templates, multiline_errors, props_capture, delim_spanning, rule_priority, optional_capture, header_first_timestamp, repeated_captures, hourly_logtypes)
 }
 
 _LINE = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || upper(event_type) || ' user_' || user_id || ' value=' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ' props=' || props"
@@ -151,6 +228,32 @@ ORACLES = {
           ('abc123* **<int>(*123)', '01'), ('abc123*** **<int>(*123)', '01'), ('abc123* **<hasNumber>(*123)', '01'), ('abc123*** **<hasNumber>(*123)', '01'),
           ('<hasNumber>(abc123*)** *123', '10'), ('<hasNumber>(abc123*)** ***123', '10'),
           ('<hasNumber>(abc123*)** **<int>(*123)', '101'), ('<hasNumber>(abc123*)** **<hasNumber>(*123)', '101')) t(logtype, wildcard_flags)""",
+    "logtype_topk": """
+        SELECT '<timestamp> ' || upper(event_type) || ' user_<userID> value=<val> props={"k": <k>}' AS logtype, count(*) AS n FROM events GROUP BY event_type
+        ORDER BY n DESC, logtype LIMIT 3""",
+    "doc_templates": rf"""WITH {_CHUNKS},
+        shown AS (SELECT doc_id, i, CASE
+            WHEN rule IS NOT NULL THEN regexp_extract(c, '\A[ \t\r\n:,.!]?') || '<' || rule || '>'
+            WHEN c LIKE chr(10) || '%' THEN '<newLine>' || substr(c, 2) ELSE c END AS t FROM named),
+        joined AS (SELECT doc_id, string_agg(t, '' ORDER BY i) AS t FROM shown GROUP BY doc_id)
+        SELECT d.doc_id, length(coalesce(t, ''))::BIGINT AS template_chars, sha256(coalesce(t, '')) AS template_sha256 FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id""",
+    "multiline_errors": f"SELECT event_id, length({_LINE}) + 18 AS chars FROM events WHERE event_type = 'error'",
+    "props_capture": """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"k": <k>}' AS logtype FROM events""",
+    "delim_spanning": f"SELECT event_id, regexp_extract({_LINE}, ' (user_[0-9]+ value=-?[0-9]+\\.[0-9]+) ', 1) AS text FROM events",
+    "rule_priority": """
+        SELECT event_id, 0 AS pos, 'word' AS rule, 'word' AS rules FROM events
+        UNION ALL SELECT event_id, 1, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'int' END, CASE WHEN user_id % 2 = 0 THEN 'even,int' ELSE 'int' END FROM events""",
+    "optional_capture": """
+        SELECT event_id, CASE WHEN u >= 10 THEN (u // 10)::VARCHAR END AS tens, (u % 10)::VARCHAR AS ones, CASE WHEN u >= 10 THEN '<tens><ones>' ELSE '<ones>' END AS logtype
+        FROM (SELECT event_id, user_id % 100 AS u FROM events)""",
+    "header_first_timestamp": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS timestamp, '<timestamp> <timestamp><newLine>rest' AS logtype FROM events",
+    "repeated_captures": """
+        WITH l AS (SELECT event_id, length(user_id::VARCHAR) AS a, length(length(props)::VARCHAR) AS b FROM events)
+        SELECT event_id, 'key' AS name, (a + 4) || ',0' AS starts, (a + 5) || ',2' AS ends FROM l
+        UNION ALL SELECT event_id, 'val', (a + 6) || ',3', (a + 6 + b) || ',' || (a + 3) FROM l""",
+    "hourly_logtypes": """
+        SELECT strftime(ts, '%Y-%m-%d %H') AS hour, CASE WHEN grouping(event_type) = 0 THEN '<timestamp> ' || upper(event_type) || ' user_<userID> value=<val> props={"k": <k>}' END AS logtype, count(*) AS n
+        FROM events GROUP BY GROUPING SETS ((strftime(ts, '%Y-%m-%d %H'), event_type), (strftime(ts, '%Y-%m-%d %H')))""",
     "schema_types": """
         SELECT * FROM (VALUES ('*1*', 'int'), ('*1*', 'hasNumber'), ('*a*', 'hasNumber'), ('*a1*', 'hasNumber'), ('abc123', 'hasNumber'),
           ('1', 'int'), ('1', 'hasNumber'), ('a*1', 'hasNumber'), ('a1', 'hasNumber')) t(query, rule)""",

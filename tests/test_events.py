@@ -135,6 +135,15 @@ def test_streamed_pieces_give_the_same_events(lx, text, cuts):
     assert got == whole
 
 
+@pytest.mark.parametrize("text,want", [("1 a\n2\n", [("1 a\n"), "2\n", ""]), ("1\n2", ["1\n", "2"]), ("a\n\n", ["a\n", "\n"]), ("", []), ("\n", ["\n"])])
+def test_the_empty_event_at_the_end(text, want):
+    lx, data = lexer(INT), text.encode()
+    events = list(lx.events(data, terminal=True))
+    assert [data[e.start : e.end].decode() for e in events] == want
+    assert not any(lx.has_header(e) or lx.timestamp(data, e) or lx.is_multiline(data, e) for e in events)
+    assert [lx.logtype(data, e) for e in events if not e.tokens] == [b""] * want.count("")
+
+
 def test_every_split_of_a_log():
     lx = LEXERS[4]
     line = b"userID=123 userID=234 userID=123 123 userID=123"

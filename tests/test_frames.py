@@ -99,6 +99,16 @@ def test_stream_is_batch(spark, tmp_path):
         assert got == want[: len(got)] and len(got) == len(want) - 1  # the last one waits for more
 
 
+def test_streamed_tokens(spark, tmp_path):
+    spark.createDataFrame([("x", 0, LOG), ("x", 1, LOG)], "k string, seq int, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("k string, seq int, text string").parquet(str(tmp_path / "in"))
+    events = parse_stream(source, queries.LINES, "k", outputs=("timestamp", "tokens"))
+    assert events.columns == ["k", "event_idx", "byte_start", "byte_end", "line_start", "timestamp", "tokens"]
+    events.writeStream.format("memory").queryName("streamed_tokens").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.table("streamed_tokens").orderBy("event_idx").select("event_idx", parse.capture("userID").alias("u")).collect()
+    assert [(r.event_idx, r.u) for r in got] == [(0, "7"), (1, "8"), (2, "7")]
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 

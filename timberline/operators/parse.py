@@ -61,11 +61,12 @@ def describe(lexer: Lexer, data: bytes, event: Event, base: int, line: int, outp
     return out
 
 
-def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = OUTPUTS, rules: list[str] | None = None) -> DataFrame:
+def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = OUTPUTS, rules: list[str] | None = None, terminal: bool = False) -> DataFrame:
     """A row for each event of each row's text, which is a whole input; with the columns of `keep` and the outputs asked for.
 
     Only what `outputs` names is computed, and `tokens` has only those of the named rules where `rules` is given: Catalyst can't look into the
-    kernel, so what a query doesn't need is left out here. A null text has no events.
+    kernel, so what a query doesn't need is left out here. A null text has no events. terminal: an empty event follows where a text without headers
+    ends with the line feed that closes its last event.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     lexer, wanted = Lexer(schema), tuple(c for c in OUTPUTS if c in outputs)
@@ -80,7 +81,7 @@ def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: lis
                 rows, owner = [], []
                 for i, data in enumerate(batch.column(text).cast(pa.binary()).to_pylist()):
                     line = 0
-                    for n, event in enumerate(lexer.events(data or b"")):
+                    for n, event in enumerate(lexer.events(data or b"", terminal=terminal)):
                         rows.append(describe(lexer, data, event, 0, line, wanted, chosen) | {"event_idx": n})
                         owner.append(i)
                         line += data.count(b"\n", event.start, event.end)

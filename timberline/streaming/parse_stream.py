@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.kernel import Lexer, StreamParser
-from ..operators.parse import describe
+from ..operators.parse import EVENT, OUTPUTS, describe
 from ..plans.schema import LogSchema
 
 STATE = "tail binary, offset long, carried boolean, line int, next long"
@@ -18,17 +18,15 @@ FIELDS = ("raw", "has_header", "timestamp", "is_multiline", "logtype")
 MAX_TAIL = 64 << 20
 
 
-def parse_stream(df: DataFrame, schema: LogSchema, key: str, text: str = "text", order: str = "seq", idle: str | None = None) -> DataFrame:
-    """(key, event_idx, byte_start, byte_end, line_start, raw, ...) of complete events.
+def parse_stream(df: DataFrame, schema: LogSchema, key: str, text: str = "text", order: str = "seq", idle: str | None = None, outputs: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(key, event_idx, byte_start, byte_end, line_start, and the outputs) of complete events.
 
     order: a column by which the pieces of a key in a batch are put in order; pieces of later batches follow. idle: after so many milliseconds
     without a piece the input counts as finished, and its last event comes out. An undecided event beyond MAX_TAIL bytes is an error.
     """
     lexer = Lexer(schema)
-    result = T.StructType([
-        df.schema[key], *(T.StructField(c, T.LongType()) for c in ("event_idx", "byte_start", "byte_end")), T.StructField("line_start", T.IntegerType()),
-        T.StructField("raw", T.StringType()), T.StructField("has_header", T.BooleanType()), T.StructField("timestamp", T.StringType()), T.StructField("is_multiline", T.BooleanType()), T.StructField("logtype", T.StringType()),
-    ])
+    wanted = tuple(c for c in OUTPUTS if c in {"event_idx", "byte_start", "byte_end", "line_start", *outputs})
+    result = T.StructType([df.schema[key], *(f for f in EVENT.fields if f.name in wanted)])
 
     def step(keys: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tail, offset, carried, line, count = state.get if state.exists else (b"", 0, False, 0, 0)
@@ -37,7 +35,7 @@ def parse_stream(df: DataFrame, schema: LogSchema, key: str, text: str = "text",
         rows = [] if finished else pd.concat(list(pieces)).sort_values(order, kind="stable")[text].fillna("").tolist()
         out = []
         for base, data, event in parser.feed("".join(rows).encode(), finished):
-            out.append(describe(lexer, data, event, base, line, FIELDS) | {key: keys[0], "event_idx": count})
+            out.append(describe(lexer, data, event, base, line, wanted) | {key: keys[0], "event_idx": count})
             count += 1
             line += data.count(b"\n", event.start, event.end)
         if finished:

@@ -1,5 +1,7 @@
 """The DataFrame operators, sources, SQL functions and streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,33 @@ def test_native_tokens_are_the_kernels(spark):
         assert got[i] == [(data[x.start : x.end].decode(), lexer.names[x.rules[0]] if x.rules else None) for x, _ in lexer.scan(data)]
 
 
+HEADED = LogSchema.parse("delimiters: \\n:\nheader:(?<timestamp>\\d{2}:\\d{2})\nheader:T(?<timestamp>\\d{1,0})x{0,1}\nword:[a-z]+=\\d+\n")
+LINE_PARTS = ["12:34", "12:34 x 5\n", "12:34\n", "\n", "\n\n", "word 12:34 9\n", " 12:34\n", "a=5\n", "é 3\n", "12:345\n", "\r\n", "x", "T5x\n", "T5xy\n", "T77:", "text\n"]
+
+
+@pytest.mark.parametrize("schema", [queries.NUMBERS, HEADED, queries.LINES, LogSchema("\n").with_rule("header:\\d{2}:\\d{2}")])
+def test_native_events_are_the_kernels(spark, schema):
+    pick = random.Random(7)
+    made = [*ODD, LOG, *("".join(pick.choices(LINE_PARTS, k=pick.randint(1, 12))) for _ in range(400))]
+    rows = native.event_rows(spark.createDataFrame([(i, t) for i, t in enumerate([*made, None])], "id long, text string"), schema).collect()
+    lexer, got = Lexer(schema), {}
+    for r in sorted(rows, key=lambda r: r.event_idx):
+        got.setdefault(r.id, []).append(r.raw)
+    for i, t in enumerate(made):
+        data = t.encode()
+        assert got.get(i, []) == [data[e.start : e.end].decode() for e in lexer.events(data)], t
+    assert len(made) not in got
+
+
+@pytest.mark.parametrize("rules", [["header:\\d+", "int:\\d+\\.\\d+"], ["header:[^a]+"]])
+def test_events_that_need_the_kernel(rules):
+    schema = LogSchema(" \n")
+    for r in rules:
+        schema = schema.with_rule(r)
+    with pytest.raises(native.NotNative):
+        native.events("text", schema)
+
+
 def test_native_templates_are_the_kernels(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "id long, text string")
     got = {r.id: r.t for r in df.select("id", native.template("text", queries.NUMBERS).alias("t")).collect()}

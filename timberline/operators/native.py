@@ -1,11 +1,15 @@
-"""Tokens in Catalyst expressions alone, for schemas whose rules can't match a delimiter: the stretches between delimiters are the tokens then."""
+"""Events and tokens in Catalyst expressions alone, where a schema allows it.
+
+Tokens: its rules can't match a delimiter, so the stretches between delimiters are the tokens. Events: its rules can't match a line feed, so each line
+is looked at alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import regex
+from ..plans import automaton, regex
 from ..plans.schema import HEADER, LogSchema
 
 HIGH = regex.ALL_BYTES & ~((1 << 128) - 1)
@@ -74,6 +78,40 @@ def tokens(text: str, schema: LogSchema) -> Column:
     return F.flatten(F.transform(chunks, named))
 
 
+def _first_bytes(trees: list) -> set[int]:
+    return {c for t in trees for c, to in enumerate(automaton.build([(0, t)]).table[0]) if to != automaton.DEAD}
+
+
+def _header(schema: LogSchema) -> str | None:
+    """A Java pattern for what opens an event of a schema with headers; NotNative where the kernel is needed."""
+    chars = schema.delimiters if "\n" in schema.delimiters else schema.delimiters + "\n"
+    trees = [(r.name, regex.parse(r.pattern, regex.ALL_BYTES & ~regex.mask_of(chars.encode()))) for r in schema.rules]
+    if any(regex.holds(t, 1 << 10) for _, t in trees):
+        raise NotNative("a rule can match a line feed")
+    headers, others = [t for n, t in trees if n == HEADER], [t for n, t in trees if n != HEADER]
+    if _first_bytes(headers) & _first_bytes(others):
+        raise NotNative("another rule could be longer than a header")
+    return f"(?:{'|'.join(map(_java, headers))})(?:[{delimiter_class(schema)}]|\\z)" if headers else None
+
+
+def events(text: str, schema: LogSchema) -> Column:
+    """array<string>: the events of a text, the same as the kernel's."""
+    header = _header(schema)
+    lines = lambda c: F.filter(F.regexp_extract_all(c, F.lit("\n?[^\n]*(?:\n|\\z)"), F.lit(0)), lambda x: x != "")
+    if header is None:
+        return lines(F.col(text))
+    parts = F.split(F.col(text), f"(?<=\n)(?={header})")
+    # Text before the first header goes by lines.
+    return F.when(parts[0].rlike(f"\\A{header}"), parts).otherwise(F.concat(lines(parts[0]), F.slice(parts, F.lit(2), F.size(parts))))
+
+
+def event_rows(df: DataFrame, schema: LogSchema, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """A row for each event: the columns of `keep`, event_idx and raw. A null text has no events."""
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+    found = df.select(*keep, F.posexplode(events(text, schema)).alias("event_idx", "raw"))
+    return found.select(*keep, F.col("event_idx").cast("long").alias("event_idx"), "raw")
+
+
 def template(text: str, schema: LogSchema) -> Column:
     """The log types of a text's events, joined, for schemas without captures: static text as it is, variables as their rule's name."""
     if any(schema.capture_names(n) for n in schema.names):

@@ -68,9 +68,18 @@ def logtype_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return native.event_rows(_table(spark, sf_dir, "documents"), NUMBERS, keep=["doc_id"])
+
+
+def doc_events_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_column(_table(spark, sf_dir, "documents"), NUMBERS, keep=["doc_id"], outputs=("event_idx", "raw"))
 
 
+def conv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation, cut at their headers in Catalyst expressions alone."""
+    return native.event_rows(conversation_logs(spark, sf_dir), TURNS)
+
+
 def doc_tokens_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(native.tokens("text", NUMBERS)).alias("t"))
     return found.groupBy(F.coalesce("t.rule", F.lit("static")).alias("rule")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
@@ -107,7 +116,7 @@ def url_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wildcard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = parse.parse_column(event_lines(spark, sf_dir), LINES, keep=["event_id"], outputs=("raw",))
+    events = native.event_rows(event_lines(spark, sf_dir), LINES, keep=["event_id"])
     return parse.search(events, "*PURCHASE user_*7 value=1?.*").select("event_id", "raw")
 
 
@@ -183,7 +192,7 @@ def hourly_logtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (synth_roundtrip, logtype_counts, doc_events, doc_tokens_by_rule, doc_tokens_kernel, doc_variables, conv_multiline, url_captures, wildcard_search, interpretations, schema_types,
-        logtype_topk, doc_templates, multiline_errors, props_capture, delim_spanning, rule_priority, optional_capture, header_first_timestamp, repeated_captures, hourly_logtypes)
+        logtype_topk, doc_templates, multiline_errors, props_capture, delim_spanning, rule_priority, optional_capture, header_first_timestamp, repeated_captures, hourly_logtypes, doc_events_kernel, conv_events)
 }
 
 _LINE = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || upper(event_type) || ' user_' || user_id || ' value=' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ' props=' || props"
@@ -206,6 +215,10 @@ ORACLES = {
         SELECT doc_id, i - 1 AS event_idx, raw FROM (
           SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS raw
           FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '\n?[^\n]*(?:\n|\z)'), lambda x: x <> '') AS l FROM documents))""",
+    "conv_events": """
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS event_idx,
+               '[conv ' || conv_id || ' turn ' || turn || '] ' || role || ': ' || text || CASE WHEN turn < max(turn) OVER (PARTITION BY conv_id) THEN chr(10) ELSE '' END AS raw
+        FROM conversations WHERE text IS NOT NULL""",
     "doc_tokens_by_rule": f"""WITH {_CHUNKS},
         tokens AS (
           SELECT doc_id, coalesce(rule, 'static') AS rule FROM named WHERE rule IS NOT NULL OR c NOT LIKE chr(10) || '%'
@@ -258,3 +271,4 @@ ORACLES = {
         SELECT * FROM (VALUES ('*1*', 'int'), ('*1*', 'hasNumber'), ('*a*', 'hasNumber'), ('*a1*', 'hasNumber'), ('abc123', 'hasNumber'),
           ('1', 'int'), ('1', 'hasNumber'), ('a*1', 'hasNumber'), ('a1', 'hasNumber')) t(query, rule)""",
 }
+ORACLES["doc_events_kernel"] = ORACLES["doc_events"]

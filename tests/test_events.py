@@ -4,7 +4,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from timberline.operators.kernel import Lexer, StreamParser
+from timberline.operators.kernel import LF, Lexer, StreamParser, Token
+from timberline.plans import regex
+from timberline.plans.automaton import DEAD
 from timberline.plans.schema import DEFAULT, LogSchema
 
 COMMON = "delimiters: \\n\\r[:,\n"
@@ -98,10 +100,65 @@ def test_priority_goes_by_order():
 
 
 SCHEMAS = [INT, DATED, FOUR, GOLDEN[11][0], "myVar:userID=123\nmyCapture:userID=(?<capture>234)", "hasNumber:[^ \\r\\n:,\\[]*\\d[^ \\r\\n:,\\[]*\nint:\\d+"]
-LEXERS = [lexer(s) for s in SCHEMAS] + [Lexer(LogSchema.parse(DEFAULT))]
+LEXERS = [lexer(s) for s in SCHEMAS] + [Lexer(LogSchema.parse(DEFAULT)), Lexer(LogSchema(" ")), Lexer(LogSchema(" \n").with_rule(r"two:[a-z]+\n[a-z ]+").with_rule(r"opt:\d*"))]
 PIECES = st.lists(st.sampled_from(["\n", "\n\n", " ", "12", "-7", "abc", "userID=123", "userID=234", "a/b", "A::B1", "2012-12-12 12:12:12.123", "Jan 01 02:03:04", "1.5", "é", ":", ",", "[", "\r\n", "text", "x1y"]), max_size=14).map("".join)
 
 
+def byte_by_byte(self, data, at_start):
+    """The state machine over single bytes."""
+    table, accepts, delimiter, n = self.dfa.table, self.dfa.accepts, self.delimiters, len(data)
+    done = begin = i = 0  # end of the last token, start of the candidate, next byte
+    state, fresh, sure = (table[0][regex.START] if at_start else 0), at_start, True
+    best = cut = None
+    while True:
+        at_end = i >= n
+        sure = sure and not at_end
+        c = 0 if at_end else data[i]
+        bounded = at_end or c in delimiter
+        if bounded and not at_end and cut is None and i != done:
+            cut = i
+        if state != DEAD and bounded and accepts[state] and i > begin:
+            best = (i, accepts[state])
+        state = DEAD if at_end or state == DEAD else table[state][c]
+        if c == LF and not at_end and best is None and (cut is None or cut == i):
+            state, begin, fresh = table[0][LF], i, False
+            best = (i + 1, accepts[state])
+            i += 1
+            continue
+        if state != DEAD:
+            i += 1
+            continue
+        if best is not None:
+            if begin != done:
+                yield Token(done, begin), sure
+            end, rules = best
+            yield Token(begin, end, rules, not fresh), sure
+            done = begin = i = end
+            state, best, cut, fresh = 0, None, None, False
+            if done >= n:
+                return
+        elif cut is not None:
+            yield Token(done, cut), sure
+            done = begin = i = cut
+            state, cut, fresh = 0, None, False
+        elif at_end:
+            if done < n:
+                yield Token(done, n), sure
+            return
+        else:
+            i += 1
+            while i < n and not self.first[data[i]]:
+                i += 1
+            begin, state, fresh = i, 0, False
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.sampled_from(LEXERS), PIECES, st.booleans())
+def test_stretches_of_the_state_machine(lx, text, at_start):
+    plain = lambda found: [(t.start, t.end, t.rules, t.prefixed, sure) for t, sure in found]
+    assert plain(lx._scan(text.encode(), at_start)) == plain(byte_by_byte(lx, text.encode(), at_start))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.sampled_from(LEXERS), PIECES)
 def test_events_partition_the_input(lx, text):

@@ -50,13 +50,14 @@ def describe(lexer: Lexer, data: bytes, event: Event, base: int, line: int, outp
     if "logtype" in outputs:
         out["logtype"] = _text(lexer.logtype(data, event))
     if "tokens" in outputs:
-        tokens = []
+        tokens, at = [], event.start
         for pos, t in enumerate(event.tokens):
+            line, at = line + data.count(b"\n", at, t.start), t.start
             names = [lexer.names[r] for r in t.rules]
             if rules is not None and (not names or names[0] not in rules):
                 continue
             found = [{"name": c.name, "byte_start": base + c.start, "byte_end": base + c.end, "text": _text(data[c.start : c.end]), "leaf": c.leaf} for c in lexer.captures_of(data, t)]
-            tokens.append({"pos": pos, "text": _text(data[t.start : t.end]), "rule": names[0] if names else None, "rules": names, "byte_start": base + t.start, "byte_end": base + t.end, "line": line + data.count(b"\n", event.start, t.start), "captures": found})
+            tokens.append({"pos": pos, "text": _text(data[t.start : t.end]), "rule": names[0] if names else None, "rules": names, "byte_start": base + t.start, "byte_end": base + t.end, "line": line, "captures": found})
         out["tokens"] = tokens
     return out
 

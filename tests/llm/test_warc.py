@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import os
 
 from pyspark.sql import functions as F
 
@@ -38,6 +39,32 @@ def test_small_payloads_are_all_responses(spark):
     assert {r.record_type for r in got} == {"response"}
 
 
+def test_ids_of_any_type_and_marks_by_a_join(spark, monkeypatch):
+    rows = [("a b", "u", "x" * 20), ("", "u", "x" * 20), (None, "u", "y"), ("é>", "u", "x" * 20), ("\0", "u", "x" * 20)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    raw = warc.write(df, common.new_path(spark, "t"), broadcast_bytes=0)
+    got = warc.read(spark, warc.normalise(spark, raw, common.new_path(spark, "t")), id_type="string").collect()
+    assert sorted(((r.page_id, r.refers_to) for r in got), key=str) == sorted([("é>", None), (None, None), *((i, "é>") for i in ("a b", "", "\0"))], key=str)
+
+
+def test_a_record_that_the_index_misplaces_is_not_read(spark):
+    done = warc.normalise(spark, warc.write(pages(spark).coalesce(1), common.new_path(spark, "t")), common.new_path(spark, "t"))
+    (file,) = {r.archive for r in warc.read_index(spark, done).collect()}
+    at = file.removeprefix("file:").replace("/kind=archive/", "/kind=index/")
+    lines = gzip.decompress(open(at, "rb").read()).decode().splitlines()
+    crc = at.rsplit("/", 1)
+    os.remove(f"{crc[0]}/.{crc[1]}.crc")
+    with open(at, "wb") as f:
+        f.write(gzip.compress("\n".join([lines[0].replace('"offset": 0', '"offset": 7'), *lines[1:]]).encode()))
+    assert warc.read(spark, done).count() == len(PAGES) - 1
+
+
+def test_long_pages_make_small_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_FILE_BYTES", 4 << 20)
+    raw = warc.write(pages(spark).coalesce(1), common.new_path(spark, "t"))
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(raw).count() == len(PAGES)
+
+
 def test_index_reaches_each_record_alone(spark):
     raw = warc.write(pages(spark), common.new_path(spark, "t"))
     out = warc.normalise(spark, raw, common.new_path(spark, "t"))

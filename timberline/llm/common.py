@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,17 +13,21 @@ from pyspark.sql import functions as F
 
 #: Bytes and rows that a Python kernel turns into Python objects at once.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 20_000
+#: A table of up to so many bytes may be broadcast, once its size was counted.
+BROADCAST_BYTES = 32 << 20
 _DIRS: dict[str, list[str]] = {}
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); where it is unset, one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, one in the warehouse; on one machine (a local
+    master), a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        app = spark.sparkContext.applicationId
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
         if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="timberline-")
+            alone = master.startswith("local") and not master.startswith("local-cluster")
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="timberline-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         path = _OWN[app]
     return path.rstrip("/")
 
@@ -33,19 +38,48 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write `df` to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
+
+    narrow: its rows are a few numbers each, so an eighth of the shuffle's partitions makes files enough.
+    """
+    path, spark = new_path(df.sparkSession, label), df.sparkSession
+    (df.coalesce(max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))) if narrow else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no result reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this application's operators wrote to the shared folder. Call it when their results are no longer read."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _DIRS.pop(spark.sparkContext.applicationId, []):
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        remove(spark, path)
+
+
+#: What operators remember in a Python worker: how to forget it, by operator.
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    _FORGET[operator] = forget
+
+
+def begin(operator: str) -> None:
+    """Called by a kernel as it starts. Spark uses Python workers again for other stages: what other operators remember there goes, and
+    memory that is freed returns to the system instead of staying with the worker."""
+    for other, forget in _FORGET.items():
+        if other != operator:
+            forget()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 4 << 20)  # fixed values: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        libc.mallopt(-1, 8 << 20)
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,26 @@ def test_conversations(spark):
         assert "".join(text[s.start : s.end] for s in spans) == "".join(x.replace("\\", "\\\\").replace("<|", "<\\|") for _, r, x in turns if r == "assistant")
 
 
+def test_the_loss_digest_is_read_by_the_mask(spark):
+    rows = [(1, 0, "user", "é?"), (1, 1, "assistant", "yes <| \\\\ é🙂"), (1, 2, "assistant", "")]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    (right,) = chat.read_back(made).collect()
+    assert (right.loss_chars, right.loss_sha256) == (len(rows[1][3]), sha(rows[1][3]))
+    for wrong in ("filter(loss_spans, s -> false)", "slice(loss_spans, 2, 1)", "transform(loss_spans, s -> named_struct('byte_start', s.byte_start - 1, 'byte_end', s.byte_end))"):
+        (other,) = chat.read_back(made.withColumn("loss_spans", chat.F.expr(wrong))).collect()
+        assert other.loss_sha256 != right.loss_sha256 and other.turns_sha256 == right.turns_sha256
+
+
+def test_branches_of_a_tree_are_formatted(spark):
+    long = "w<|" * 200_000
+    nodes = [("t", 1, None, 1.0, "user", "q"), ("t", 2, 1, 5.0, "assistant", "good"), ("t", 3, 1, 1.0, "assistant", "bad"), ("t", 4, 2, 0.0, "user", long), ("t", 5, 3, 0.0, None, None)]
+    df = spark.createDataFrame(nodes, "tree string, node long, parent long, score double, role string, text string")
+    got = {r.path: r for r in chat.format_trees(df, keep=2).select("path", "formatted", chat.masked(chat.F.col("formatted"), chat.F.col("loss_spans")).alias("loss"), chat.parse(chat.F.col("formatted")).alias("turns")).collect()}
+    assert {p: r.loss for p, r in got.items()} == {1: "good", 2: "bad"}
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", "q"), ("assistant", "good"), ("user", long)]
+    assert [(t.role, t.text) for t in got[2].turns] == [("user", "q"), ("assistant", "bad"), ("", "")]
+
+
 def test_branches_are_ranked(spark):
     # 1 - 2 - 4, 1 - 3 - 5 - 6; a second root 7 that nothing answers; a loop 8 - 9; 10 answers a node that doesn't exist.
     nodes = [("t", 1, None, 1.0), ("t", 2, 1, 5.0), ("t", 3, 1, 1.0), ("t", 4, 2, 1.0), ("t", 5, 3, 2.0), ("t", 6, 5, 1.0), ("t", 7, None, 0.5), ("t", 8, 9, 1.0), ("t", 9, 8, 1.0), ("t", 10, 99, 9.0), ("u", 1, None, None)]

@@ -7,34 +7,28 @@ import pytest
 from timberline.llm import impact_index
 
 
-def brute(rows, queries, k):
-    held = []
-    for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        held.append((i, [math.floor(256 * float(np.float32(x))) for x in v]))
-    out, first = [], {}
-    for i, v in held:
-        if i in queries:
-            first[i] = min(first.get(i, v), v)
-    for q, v in first.items():
-        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in held if i != q)[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+def brute(rows, asks, k):
+    """rows and queries with their row numbers; a query isn't compared with its own row."""
+    held = [(n, i, [math.floor(256 * x) if abs(x) < 2**53 else 256 * int(x) for x in map(np.float32, v)]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, q, v in held:
+        if asks(q):
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, i, w in held if m != n)[:k]
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scores)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,block", [(1, 16_384), (2, 4_100)])
+@pytest.mark.parametrize("seed,block", [(1, 4096), (2, 300)])
 def test_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(impact_index, "BLOCK_ROWS", block)
     monkeypatch.setattr(impact_index, "CHUNK_BYTES", 2000)
     rng = random.Random(seed)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(12)]) for i in range(400)]
-    rows += [(400, None), (401, [None, 1.0]), (402, [float("nan")] * 3), (403, [float("inf")]), (404, [0.5, 0.5]), (405, []), (None, [1.0]), (20, [0.25] * 12), (406, rows[3][1]), (407, rows[3][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as rank")
-    wanted = [i for i, _ in rows if i is not None and i % 20 == 0]
+    rows += [(400, None), (401, [None, 1.0]), (402, [float("nan")] * 3), (403, [float("inf")]), (404, [0.5, 0.5]), (None, [1.0]), (20, [0.25] * 12), (20, [None, 2.0]), (406, rows[3][1]), (407, rows[3][1])]
+    rows += [rows[40], (60, []), (408, [])] if seed == 1 else [(80, [5000.0, 1.0]), (409, [3e38, -1.0, 2.0]), (410, [-9e30] * 12), (100, [1e20] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as rank").repartition(3)
     got = impact_index.top_k(df, df.where("vec_id % 20 = 0"), 5).collect()
-    want = brute([(i, v) for i, v in rows], set(wanted) - {20}, 5)
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got if r.query_id != 20) == want
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, lambda i: i % 20 == 0, 5)
 
 
 def test_few_rows_and_ties(spark):
@@ -48,9 +42,11 @@ def test_it_stops_before_all_segments():
     rng = np.random.default_rng(3)
     centres = rng.normal(0, 60, (10, 32))
     rows = (centres[rng.integers(0, 10, 4000)] + rng.normal(0, 6, (4000, 32))).astype(np.int64)
-    block = impact_index.Block.unpack(impact_index.Block(np.arange(4000), rows).pack())
+    block = impact_index.Block.unpack(impact_index.Block(np.arange(4000), rows).pack(rows), 256)
+    seen: list[float] = []
     for q in (0, 17, 99):
         exact = rows @ rows[q]
-        exact[q] = -(10**9)
         want = sorted(((int(-s), i) for i, s in enumerate(exact)))[:5]
-        assert [(-s, -i) for s, i in block.search(q, rows[q], 5, None)] == want
+        assert [(-s, -i) for s, i in block.search(rows[q], 5, None, seen)] == want
+        assert [(-s, -i) for s, i in block.of_any_size().search(rows[q].astype(object), 5, None)] == want
+    assert max(seen) < 0.9  # postings remain unread

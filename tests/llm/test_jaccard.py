@@ -54,7 +54,7 @@ def near_copies(seed, bases=6, copies=25):
 @pytest.mark.parametrize("seed,n,percent", [(1, 4, 85), (2, 5, 80), (3, 4, 50), (4, 1, 85), (5, 4, 100)])
 def test_brute_force(spark, monkeypatch, seed, n, percent):
     if seed % 2:
-        monkeypatch.setattr(jr, "BLOCK_SETS", 7)
+        monkeypatch.setattr(jr, "BLOCK_SETS", 5)
     docs = near_copies(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n", "2 as rep", "3 as key").repartition(5)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jr.join(df, n, percent).collect())
@@ -70,6 +70,14 @@ def test_ids_that_repeat_null_ids_and_empty(spark):
     assert sorted(r.doc_id or 0 for r in jr.keep_one(df, 4, 85).collect()) == [0, 1, 1, 3]
 
 
+def test_ids_of_other_types(spark):
+    rows = [("b", "a b c d e f"), ("a", "a b c d e f"), ("a", "g h i j k l"), (None, "a b c d e f"), ("10", "x y"), ("9", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jr.join(df, 4, 85).collect()), key=str)
+    assert got == sorted([("b", 3, "a"), ("a", 3, "a"), ("a", 3, "a"), (None, 3, None), ("10", 1, "10"), ("9", 0, "9")], key=str)
+    assert jr.join(df.limit(0), 4, 85).collect() == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 80), st.sampled_from([50, 80, 85, 95, 100]), st.integers(0, 10_000))
 def test_linked_sets_share_a_key(size, percent, seed):

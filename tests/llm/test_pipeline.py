@@ -38,6 +38,8 @@ def test_run_is_brute_force(spark):
     docs = [(i, t) for i, t in docs if t and re.search(r"[^\W\d_]", t)]
     docs = [(i, kept) for (i, _), (kept, _, _) in zip(docs, brute_lines([t for _, t in docs], 10))]
     docs = [(i, t) for (i, t), (j, _, low) in zip(docs, brute_components(docs, 5, 80)) if i == low]
+    by_id = {r.doc_id: r for r in langid.identify(spark.read.parquet(f"{SF}/documents.parquet"), keep=True).collect()}
+    assert all(by_id[i].lang_pred != "und" and by_id[i].score >= 0.5 and by_id[i].evidence > 0 for i, _ in docs)
     items = [tiling.words(r.text or "") for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items = [w for w in items if len(w) >= 5]
     clean = [(i, t) for i, t in docs if not brute_leak(tiling.words(t), items)]
@@ -47,7 +49,7 @@ def test_run_is_brute_force(spark):
     want = []
     for i, t in clean:
         ids = library.encode_ordinary(t)
-        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+        want.append((i, by_id[i].lang_pred, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
 
 
@@ -72,11 +74,14 @@ def test_stages_take_null_texts_and_repeated_rows(spark):
     assert corpus_pipeline.tokens(spark, docs, SF).count() == 6
 
 
-def test_every_language_can_be_rejected(spark):
+def test_the_language_stage_goes_by_what_was_predicted(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.language(spark, docs, SF)
-    assert kept.count() == docs.where("text rlike '\\\\p{L}'").count()
-    assert langid.identify(docs, keep=True).columns == [*docs.columns, "lang_pred", "score"]
+    found = {r.doc_id: r for r in langid.identify(docs, keep=True).collect()}
+    assert {r.doc_id: r.lang for r in kept.collect()} == {i: r.lang_pred for i, r in found.items() if r.lang_pred != "und" and r.score >= 0.5 and r.evidence > 0}
+    noise = spark.createDataFrame([(-1, "Ωκεανός и море 海洋 " * 9, None, "s", 1), (-2, "The of and", "fr", "s", 1)], docs.schema)
+    judged = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs.unionByName(noise), SF).collect()}
+    assert -1 not in judged and judged[-2] == "en"
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

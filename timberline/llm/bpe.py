@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_clashing, slices, texts
+from .common import begin, drop_clashing, remembers, slices, texts
 
 #: Longest piece that goes to a matrix, and rows of a matrix; pieces that a worker remembers.
 MATRIX_BYTES, MATRIX_ROWS = 256, 1 << 14
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -201,10 +201,12 @@ class _Pieces(dict):
 
 
 _LOADED: dict[tuple[int, str], Vocabulary] = {}
+remembers("bpe", _LOADED.clear)
 
 
 def _vocabulary(raw: bytes, pattern: str) -> Vocabulary:
-    """One per worker process; the file's size is fixed, whatever the input."""
+    """One per worker process, until another operator's kernel begins there; the file's size is fixed, whatever the input."""
+    begin("bpe")
     key = (hash(raw), pattern)
     if key not in _LOADED:
         _LOADED.clear()
@@ -283,11 +285,11 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text")
     return df.mapInArrow(kernel, schema)
 
 
-def digests(df: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, decode, and reduce both to digests: one row per document."""
-    done = round_trip(df.select(key, text), rank_path, pattern, text)
+def digests(df: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encode, decode, and reduce both to digests: one row per document, with the columns of `keep`."""
+    done = round_trip(df.select(key, text, *keep), rank_path, pattern, text)
     return done.select(
-        key,
+        key, *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -6,7 +6,10 @@ score; the best `keep` are chosen. The same jumps, largest first, then mark all
 path of n turns takes log n joins of narrow rows. Texts join last, and each path becomes one conversation.
 
 The template, per turn: <|start|>ROLE<|sep|>TEXT<|end|> and a line feed. In roles and texts a backslash becomes two, and `<|` becomes `<\\|`;
-so no control string can stand in them, and `unescape` restores them exactly. The loss mask covers the texts of assistant turns.
+so no control string can stand in them, and `unescape` restores them exactly. The loss mask covers the texts of assistant turns: spans in code points
+and in UTF-8 bytes of the formatted text, out of which `read_back` cuts what a model would be trained on.
+
+A conversation is one row in the end, so its turns meet in one window and one array: a conversation must fit a task, as its formatted text must.
 
 Defined results: null roles and texts count as empty; in a table of turns, rows are ordered by turn, then role, then text, so turns that
 repeat follow each other; null turns come first; a null conversation id is a conversation of its own; a parent that doesn't exist makes its child a
@@ -42,14 +45,13 @@ def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     hop = nodes.select("tree", "node", "parent", F.col("score").cast("double").alias("score"))
     hop = hop.join(parent, (hop["tree"].eqNullSafe(parent["tree"])) & (hop["parent"] == parent["up"]), "left").select(hop["tree"], "node", "up", F.lit(0).cast("long").alias("depth"), "score")
     # up: the node 2^k replies above, null beyond the root; depth and score: of the stretch up to there, without it.
-    # up: the node 2^k replies above, null beyond the root; depth and score: of the stretch up to there, without it.
     # A node that has reached its root takes no part in later rounds, but others look it up.
-    hop = materialize(hop.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long")), "hops")
+    hop = materialize(hop.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long")), "hops", narrow=True)
     rooted, jumps, total = hop.where("up is null"), [hop.where("up is not null")], nodes.count()
     while 2 ** (len(jumps) - 1) <= total and not jumps[-1].isEmpty():
         above = jumps[-1].unionByName(rooted).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
         hop = jumps[-1].join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
-        hop = materialize(hop.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")), "hops")
+        hop = materialize(hop.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")), "hops", narrow=True)
         rooted = rooted.unionByName(hop.where("up is null"))
         jumps.append(hop.where("up is not null"))
     jumps = [j.select("tree", "node", "up") for j in jumps]
@@ -57,7 +59,7 @@ def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
     marked = leaf.withColumn("path", rank).where(F.col("path") <= keep).select("tree", "path", "node")
     for jump in reversed(jumps[:-1]):
-        marked = materialize(marked, "marked")
+        marked = materialize(marked, "marked", narrow=True)
         up = jump.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         more = marked.join(up, marked["tree"].eqNullSafe(up["t"]) & (marked["node"] == up["n"])).select("tree", "path", F.col("up").alias("node"))
         marked = marked.unionByName(more)
@@ -66,16 +68,23 @@ def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
 
 
 def format_trees(nodes: DataFrame, keep: int = 1) -> DataFrame:
-    """(tree, path, formatted, loss_spans): nodes has tree, node, parent, score, role and text. Spans are code points of `formatted`, end exclusive."""
+    """(tree, path, formatted, loss_spans): nodes has tree, node, parent, score, role and text. Spans: start and end in code points of `formatted`, and
+    byte_start and byte_end in its bytes; ends are exclusive."""
     chosen = paths(nodes, keep)
     body = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("said"))
     turns = chosen.join(body, chosen["tree"].eqNullSafe(body["t"]) & (chosen["node"] == body["n"]))
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
     turns = turns.select("tree", "path", "depth", "role", head.alias("head"), "said")
     before = Window.partitionBy("tree", "path").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.length("head") + F.length("said") + F.lit(len(END))
-    start = F.coalesce(F.sum(n.cast("long")).over(before), F.lit(0)) + F.length("head")
-    span = F.when(F.col("role") == "assistant", F.struct(start.alias("start"), (start + F.length("said")).alias("end")))
+
+    def bounds(size):
+        """Where the text of a turn starts and ends, by a measure of length."""
+        whole = size("head") + size("said") + F.lit(len(END))
+        start = F.coalesce(F.sum(whole.cast("long")).over(before), F.lit(0)) + size("head")
+        return start, start + size("said")
+
+    (a, b), (c, d) = bounds(F.length), bounds(F.octet_length)
+    span = F.when(F.col("role") == "assistant", F.struct(a.alias("start"), b.alias("end"), c.alias("byte_start"), d.alias("byte_end")))
     turns = turns.withColumn("span", span)
     gathered = turns.groupBy("tree", "path").agg(F.sort_array(F.collect_list(F.struct("depth", F.concat("head", "said").alias("turn"), "span"))).alias("all"))
     return gathered.select(
@@ -93,6 +102,13 @@ def parse(formatted: Column) -> Column:
     return F.transform(cut, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text")))
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The text under the spans, unescaped and joined. Bytes are cut, since a position in code points is found by walking from the start; the outer
+    lambda binds the bytes once, not for each span."""
+    cut = lambda raw: lambda s: unescape(F.decode(F.substring(raw, (s["byte_start"] + 1).cast("int"), (s["byte_end"] - s["byte_start"]).cast("int")), "UTF-8"))
+    return F.array_join(F.element_at(F.transform(F.array(formatted.cast("binary")), lambda raw: F.transform(spans, cut(raw))), 1), "")
+
+
 def as_trees(turns: DataFrame) -> DataFrame:
     """Nodes of a table (conv_id, turn, role, text): each turn answers the one before it."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
@@ -108,10 +124,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the formatted conversations say: all turns, and the text under the loss mask."""
-    read = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"))
+    """Digests of what the formatted conversations say: all turns, and the text that the loss mask covers."""
+    read = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = read.withColumn("loss", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), ""))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

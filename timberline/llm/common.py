@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes and rows that a Python kernel turns into Python objects at once.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 20_000
@@ -116,6 +117,25 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, salt_by: Colum
     return a.join(b, [key, "__salt"], "left").drop("__salt")
 
 
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """The right side of a join: broadcast if its rows, counted, take no more than BROADCAST_BYTES, else hashed after a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_hash")
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """(key, number) of the distinct ids of a table, in their order: ranges are counted, and sums over the ranges give where each starts."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = df.select(key).where(F.col(key).isNotNull()).distinct()
+    ranged = materialize(ids.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()), "ids")
+    starts, at = [], 0
+    for part, n in sorted(tuple(r) for r in ranged.groupBy("part").count().collect()):  # a row for each of `parts` partitions
+        starts += [F.lit(part), F.lit(at)]
+        at += n
+    own = F.row_number().over(Window.partitionBy("part").orderBy(key))
+    return ranged.select(key, (F.try_element_at(F.create_map(*starts), F.col("part")) + own).cast("long").alias("number")) if starts else ids.withColumn("number", F.lit(0).cast("long"))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows to as many partitions as shuffles have."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -42,12 +42,12 @@ def star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (a, b); component: the smallest node it reaches."""
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    links = materialize(links.mapInArrow(star_links, "a long, b long"), "links")
+    links = materialize(links.mapInArrow(star_links, "a long, b long"), "links", narrow=True)
     rows = links.count()
     while rows > ONE_TASK_LINKS > 0:
-        # Links to the same node meet, in tasks of bounded size; what they have in common falls away.
-        met = links.repartition(rows // ONE_TASK_LINKS + 1, "b").mapInArrow(star_links, "a long, b long")
-        links, before = materialize(met, "links"), rows
+        # Links to the same node meet, in tasks of bounded size; what they have in common falls away. A node of very many links is salted.
+        met = links.repartition(rows // ONE_TASK_LINKS + 1, "b", F.pmod(F.xxhash64("a"), F.lit(8))).mapInArrow(star_links, "a long, b long")
+        links, before = materialize(met, "links", narrow=True), rows
         rows = links.count()
         if rows > 0.7 * before:
             break
@@ -60,11 +60,11 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "large-star")
+        large = materialize(large, "large-star", narrow=True)
         # Small star: each node links its smaller neighbours, and itself, to the smallest.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        links = materialize(small.where("a <> b").distinct(), "small-star")
+        links = materialize(small.where("a <> b").distinct(), "small-star", narrow=True)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return _with_roots(links)

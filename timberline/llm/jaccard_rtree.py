@@ -8,12 +8,14 @@ The tree is distributed over families: sets that could link at all. All sets are
 last, else by hash); each run of three neighbours is a key, and a set brings the runs of its first part. Shingles that a linked pair doesn't
 share break at most three runs each, and the part is long enough that some run stays whole; so two linked sets always share a key, whatever the
 sample. Sets of compatible sizes with a common key are chained, and what is connected by chains is a family. Families are small next
-to the table; large ones are cut into blocks, and each pair of blocks is a cell, so no task holds an unbounded group.
+to the table; large ones are cut into blocks, so no task holds an unbounded group. Blocks are searched one by one first, then one set of each
+component that they gave. That makes most groups of near copies one component. Only of a family that still isn't one, each pair of blocks is
+a cell, in which links are sought between components.
 
 Equal sets form one class before all this, and a link is only sought between two sets that aren't connected yet, so a group of copies costs a row each, not
 a row for each pair.
 
-Defined results: words are lower-cased in A-Z and cut at ASCII white space; a text with fewer than n words is one shingle; a null text, or one without words,
+Defined results: ids may be of any type that has an order; integers are used as they are, others are numbered first; words are lower-cased in A-Z and cut at ASCII white space; a text with fewer than n words is one shingle; a null text, or one without words,
 has an empty set, is linked with nothing, and is its own component. Rows that repeat an id are one document for linking, each with its own set size. A null id
 is linked with nothing and has a null component. An empty table gives an empty table. Other columns are ignored.
 """
@@ -29,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, salted_left_join, slices, spread, texts
+from .common import begin, materialize, numbered, remembers, salted_left_join, sized, slices, spread, texts
 from .components import components, smallest_reachable
 
 #: Documents of the sample that decides which shingles come last, and how many of them must hold one; sets and shingles of a block.
-SAMPLE_DOCS, SAMPLE_HELD, BLOCK_SETS, BLOCK_SHINGLES = 8_000, 4, 2_048, 2_000_000
+SAMPLE_DOCS, SAMPLE_HELD, BLOCK_SETS, BLOCK_SHINGLES = 8_000, 4, 512, 400_000
 #: Points of a leaf, leaves of a node; keys that a task unpacks at once.
 LEAF, FAN, MEET_KEYS = 32, 16, 400_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -48,6 +50,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+remembers("jaccard", _HASHES.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -169,6 +172,7 @@ def _emit_keys(docs: DataFrame, n: int, law: Law, buckets: int) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(_frequent(docs, n))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         last = shipped.value
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
@@ -315,10 +319,13 @@ class RTree:
                     yield x, later[shared >= self.law.overlap_needed(a, self.sizes[later])]
 
 
-def linked(sets: list[np.ndarray], law: Law, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what the sets' links connect; side: only links between different sides are sought."""
+def linked(sets: list[np.ndarray], law: Law, side: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what the sets' links connect. side: only links between different sides are sought; label: sets of one label are connected."""
+    label = np.arange(len(sets)) if label is None else label.copy()
+    if len(sets) < 2 or (label == label[0]).all():
+        return []
     tree = RTree(sets, law)
-    order, out, label = tree.by, [], np.arange(len(sets))
+    order, out = tree.by, []
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum([0, *map(len, sets)])
     held = np.zeros(len(values), bool)
@@ -347,26 +354,27 @@ def _verify(law: Law):
     """Links of each cell; rows come in order of cell."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        begin("jaccard")
+        held: list[tuple[int, int, int, bytes]] = []
         now = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list({(node, blob): (node, side, blob) for node, side, blob in held}.values())
+            rows = list({(row[0], row[3]): row for row in held}.values())
             if len(rows) > 1:
-                side = np.array([s for _, s, _ in rows])
-                links = linked([np.frombuffer(b, np.uint64) for _, _, b in rows], law, side if side.any() else None)
+                side, label = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+                links = linked([np.frombuffer(r[3], np.uint64) for r in rows], law, side if side.any() else None, label)
                 if links:
                     a, b = zip(*((rows[i][0], rows[j][0]) for i, j in links))
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                for r in whole.slice(at, 512).to_pylist():
+            for at in range(0, whole.num_rows, 128):
+                for r in whole.slice(at, 128).to_pylist():
                     cell = (r["family"], r["left"], r["right"])
                     if cell != now:
                         yield from flush()
                         held, now = [], cell
-                    held.append((r["node"], int(r["left"] != r["right"] and r["block"] == r["right"]), r["set"]))
+                    held.append((r["node"], int(r["left"] != r["right"] and r["block"] == r["right"]), r["label"], r["set"]))
         yield from flush()
 
     return kernel
@@ -376,6 +384,11 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     """(key, n_shingles, component_id) for each row."""
     law, spark = Law(percent), docs.sparkSession
     kind = docs.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        names = numbered(docs, key).withColumnRenamed(key, "__name")
+        found = join(docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).join(names, F.col("__id") == F.col("__name"), "left").select("number", "text"), n, percent, "number", "text")
+        of = lambda number, name: names.select(F.col("number").alias(number), F.col("__name").alias(name))
+        return found.join(of("number", key), "number", "left").join(of("component_id", "__component"), "component_id", "left").select(key, "n_shingles", F.col("__component").alias("component_id"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     named = rows.where("key is not null")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -385,22 +398,22 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
 
     # Classes of equal sets; what follows is between their representatives. Copies are salted.
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("key").alias("rep"), F.min("n").alias("n"))
-    classes = materialize(classes, "classes")
+    classes = materialize(classes, "classes", narrow=True)
     fingerprint = F.struct("hi", "lo").alias("print")
     member = salted_left_join(sets.withColumn("print", fingerprint), classes.select(fingerprint, "rep"), "print", F.col("key"))
-    member = materialize(member.select("key", "n", "rep"), "members")
+    member = materialize(member.select("key", "n", "rep"), "members", narrow=True)
     rep_of = member.where("rep is not null").select("key", "rep").distinct()
     # Copies share all keys, so the chains put a class into one family; families of one class are done.
     family = components(links).join(rep_of.withColumnRenamed("key", "node"), "node").select(F.col("rep").alias("node"), "component").distinct()
-    family = materialize(family, "families")
+    family = materialize(family, "families", narrow=True)
 
-    # Cells: a family of some blocks has a cell for each pair of blocks.
     inside = family.join(classes, family["node"] == classes["rep"]).select("node", F.col("component").alias("family"), "hi", "lo", "n")
     blocks = inside.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("classes"))
     blocks = blocks.where("classes > 1").drop("classes")
-    inside = inside.join(blocks, "family")
+    inside = materialize(inside.join(blocks, "family").select("node", "family", "blocks", "hi", "lo"), "inside", narrow=True)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         names = ["family", "blocks", "node", "set"]
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -410,16 +423,43 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
                 out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array([s.tobytes() for s in found], pa.binary())], names=names)
                 yield out.filter(pa.array(same))
 
-    wanted = named.join(inside.drop("n").hint("shuffle_hash"), named["key"] == F.col("node")).select("family", "blocks", "node", "hi", "lo", "text")
-    held = wanted.mapInArrow(resolve, "family long, blocks int, node long, set binary")
+    wanted = named.join(sized(inside, 64), named["key"] == F.col("node")).select("family", "blocks", "node", "hi", "lo", "text")
+    held = materialize(wanted.mapInArrow(resolve, "family long, blocks int, node long, set binary"), "family-sets")
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    cells = held.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("family", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "set")
-    order = ["family", "left", "right"]
-    verified = spread(cells, *order).sortWithinPartitions(*order).mapInArrow(_verify(law), "a long, b long")
+
+    def search(cells: DataFrame) -> DataFrame:
+        """Links found in cells: rows (family, left, right, block, node, label, set)."""
+        order = ["family", "left", "right"]
+        found = spread(cells, *order).sortWithinPartitions(*order).mapInArrow(_verify(law), "a long, b long")
+        return materialize(found, "verified", narrow=True)
+
+    verified = search(held.select("family", block.alias("left"), block.alias("right"), block.alias("block"), "node", F.col("node").alias("label"), "set"))
+    wide = held.where("blocks > 1").select("family", "node").distinct()
+    if not inside.where("blocks > 1").isEmpty():
+        def labels() -> DataFrame:
+            """(family, node, label) of families that aren't one component yet."""
+            own = wide.join(components(verified), "node", "left").select("family", "node", F.coalesce("component", "node").alias("label"))
+            still = own.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("family")
+            return materialize(own.join(still, "family"), "labels", narrow=True)
+
+        def labelled(own: DataFrame) -> DataFrame:
+            return held.withColumn("block", block).join(sized(own, 64), ["family", "node"])
+
+        # A component's smallest set stands for it; they are searched in blocks of their own, by a hash that deals them anew.
+        now = labels()
+        first = now.where("node = label")
+        dealt = first.join(first.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("parts")), "family")
+        dealt = dealt.select("family", "node", "label", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part"))
+        cells = labelled(dealt).select("family", F.col("part").alias("left"), F.col("part").alias("right"), F.col("part").alias("block"), "node", "label", "set")
+        verified = verified.unionByName(search(cells))
+        now = labels()
+        if not now.isEmpty():
+            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+            cells = labelled(now).withColumn("other", other).where("block <> other")
+            verified = verified.unionByName(search(cells.select("family", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "label", "set")))
     # Rows that repeat an id are one document.
     repeats = rep_of.join(rep_of.groupBy("key").count().where("count > 1").select("key"), "key").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    whole = components(materialize(verified, "verified").unionByName(repeats))
+    whole = components(verified.unionByName(repeats))
     # A class of some documents is a component too, if nothing else links it.
     named_out = member.join(whole.withColumnRenamed("node", "rep"), "rep", "left")
     out = named_out.select(F.col("key").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "key").alias("component_id"))
@@ -435,6 +475,6 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that a smaller id represents; rows with a null id are kept."""
-    found = materialize(join(docs, n, percent, key, text), "components")
-    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(key) == F.col("__gone"), "left_anti")
+    found = join(docs, n, percent, key, text)
+    gone = materialize(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct(), "gone", narrow=True)
+    return docs.join(sized(gone, 64), F.col(key) == F.col("__gone"), "left_anti")

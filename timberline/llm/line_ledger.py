@@ -5,13 +5,14 @@ The ledger's truth is the table `refs` (key, number of documents that hold it).
 cuckoo filter of its shard; a key that falls below it, because documents were deleted, leaves it. So insertions and deletions
 both update the ledger, and a deletion undoes an insertion exactly.
 
-Lines are looked up in the filters, whose size is checked before they are broadcast. A filter can also say yes to a key that is not
-in it: every such key of `refs` is found beforehand and travels along as an exception, so the answer is exact. Filters beyond
-`BROADCAST_BYTES` are not sent; keys then meet the hot part of `refs` in a salted join.
+Lines are looked up in the filters. A filter can also say yes to a key that is not in it. Filters whose counted size allows it are broadcast; then
+every such key of `refs` is found beforehand and travels along as an exception, so the answer is exact. Else the documents' keys go to their
+shard's filter, salted, and what passes meets the hot part of `refs` in a salted join, which is exact as well.
 
 Defined results: a null text counts as empty, and has one empty line; each row counts as a document, also one that repeats; keys with
 fewer than `min_chars` code points always stay; when all lines go, the kept text is empty; an empty table gives an empty table. Columns
-of the input pass through, except ones named `kept`, `n_lines` or `n_dropped`, which are replaced.
+of the input pass through, except ones named `kept`, `n_lines` or `n_dropped`, which are replaced. Deleting a document that was not inserted is an error
+that leaves the ledger as it was, whenever it would take a count below zero.
 """
 
 from __future__ import annotations
@@ -21,15 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_clashing, new_path, slices, texts
+from .common import BROADCAST_BYTES, begin, drop_clashing, new_path, remove, slices, spread, texts
 
-#: Filters and exceptions of up to so many bytes are broadcast.
-BROADCAST_BYTES = 32 << 20
 SLOTS, KICKS = 4, 500
 
 
@@ -160,6 +160,7 @@ class LineLedger:
         min_chars = self.min_chars
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin("line_ledger")
             for whole in batches:
                 for batch in slices(whole, text):
                     held: Counter[bytes] = Counter()
@@ -184,8 +185,11 @@ class LineLedger:
         shard = F.pmod(F.shiftrightunsigned("hi", 40), F.lit(shards)).cast("int")
         both = self.refs.select("hi", "lo", F.col("refs").alias("was"), F.lit(0).cast("long").alias("n")).unionByName(delta.withColumn("was", F.lit(0).cast("long")))
         merged = both.groupBy("hi", "lo").agg(F.sum("was").alias("was"), (F.sum("was") + F.sum("n")).alias("refs"))
-        merged.select(shard.alias("shard"), "hi", "lo", "was", "refs").where("refs > 0 or was > 0").write.parquet(f"{at}/refs")
+        merged.select(shard.alias("shard"), "hi", "lo", "was", "refs").where("refs <> 0 or was > 0").write.parquet(f"{at}/refs")
         fresh = self.spark.read.schema(self.REFS).parquet(f"{at}/refs")
+        if not fresh.where("refs < 0").isEmpty():
+            remove(self.spark, at)
+            raise ValueError("a document was deleted that the ledger doesn't hold")
 
         def rebuild(key: tuple, rows: pa.Table, old: pa.Table) -> pa.Table:
             hi, lo, was, refs = (rows.column(c).to_numpy() for c in ("hi", "lo", "was", "refs"))
@@ -234,6 +238,7 @@ class LineLedger:
         shipped = self.spark.sparkContext.broadcast(lookup)
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin("line_ledger")
             tested, names = shipped.value, schema.names
             for whole in batches:
                 for batch in slices(whole, text):
@@ -255,8 +260,8 @@ class LineLedger:
         return docs.mapInArrow(kernel, schema)
 
     def _hot_of(self, docs: DataFrame, text: str, key: str) -> DataFrame:
-        """(__key, __hot): the hot keys of each document, by a join in which the hot keys repeat for 16 salts."""
-        min_chars = self.min_chars
+        """(__key, __hot): the hot keys of each document. Its keys meet their shard's filter, and what passes the hot keys themselves; both repeat for 16 salts."""
+        min_chars, shards = self.min_chars, self.shards
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -268,7 +273,28 @@ class LineLedger:
                             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array([row] * len(keys))), signed(hi), signed(lo)], names=["__key", "hi", "lo"])
 
         held = docs.select(key, text).mapInArrow(kernel, T.StructType([T.StructField("__key", docs.schema[key].dataType), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]))
-        held = held.withColumn("salt", F.pmod(F.xxhash64("__key"), F.lit(16)).cast("int"))
+        shard = F.pmod(F.shiftrightunsigned("hi", 40), F.lit(shards)).cast("int")
+        held = held.select("*", shard.alias("shard"), F.pmod(F.xxhash64("__key"), F.lit(16)).cast("int").alias("salt"), F.lit(None).cast("long").alias("buckets"), F.lit(None).cast("binary").alias("filter"))
+        every = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
+        tables = self.filters.select(F.lit(None).cast(docs.schema[key].dataType).alias("__key"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("lo"), "shard", every, "buckets", "filter")
+
+        def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come by (shard, salt), the filter before the keys."""
+            begin("line_ledger")
+            tested = None
+            for batch in batches:
+                on = np.asarray(batch.column("filter").is_null())
+                hi, lo = (pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("hi", "lo"))
+                opens = np.flatnonzero(~on).tolist()
+                for a, b in zip([0, *opens], [*opens, batch.num_rows]):
+                    if a < b and not on[a]:
+                        tested = FilterSet(1, [(0, batch.column("buckets")[a].as_py(), batch.column("filter")[a].as_py())])
+                    if tested is not None:  # a shard without a filter has no hot key, so any filter will do
+                        on[a:b] &= tested.maybe(hi[a:b], lo[a:b])
+                yield batch.select(["__key", "hi", "lo", "salt"]).filter(pa.array(on))
+
+        both = spread(tables.unionByName(held), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+        held = both.mapInArrow(passing, T.StructType([T.StructField("__key", docs.schema[key].dataType), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("salt", T.IntegerType())]))
         hot = self.refs.where(F.col("refs") >= self.threshold).select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
         raw = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("hi", "lo")])
         return held.join(hot, ["hi", "lo", "salt"], "left_semi").groupBy("__key").agg(F.collect_set(raw).alias("__hot"))

@@ -52,11 +52,14 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
-    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    # Two waves: the base rules, and again with more rules, for which the ledger runs the new ones only.
+    ledger, docs = secrets.BlobLedger(spark), _read(spark, sf_dir, "documents")
+    ledger.scan(docs)
+    found = ledger.scan(docs, (*secrets.BASE_RULES, *secrets.MORE_RULES))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    # The rules are the base rules, so all spans are base spans.
-    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in secrets.BASE_RULES]))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +113,11 @@ _OP9_RULES = {
     "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": "AKIA[A-Z0-9]+",
     "hex": "[0-9a-f]+",
+    "key": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "jwt": "eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+",
+    "login": r"[a-z]+://[A-Za-z0-9._-]+:([^@/\s]+)@",
 }
-_OP9_LEAST = {"assign": (2, 8), "access": (0, 16), "hex": (0, 32)}
+_OP9_LEAST = {"assign": (2, 8), "access": (0, 16), "hex": (0, 32), "key": (0, 1), "jwt": (0, 1), "login": (1, 4)}
 
 
 def _op9_kind(rank: int, kind: str) -> str:
@@ -132,9 +138,9 @@ def _op9_kind(rank: int, kind: str) -> str:
 _OP9 = (
     "WITH spans AS (" + " UNION ALL ".join(_op9_kind(i, k) for i, k in enumerate(_OP9_RULES)) + """),
 held AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS c,
-                string_agg(kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY start, rank) AS s
-         FROM spans GROUP BY doc_id)
-SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans
+                string_agg(shown, ',' ORDER BY start, rank) AS s, string_agg(shown, ',' ORDER BY start, rank) FILTER (WHERE kind IN ('assign', 'access', 'hex')) AS base
+         FROM (SELECT *, kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) AS shown FROM spans) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(s, '') AS spans
 FROM documents d LEFT JOIN held h ON d.doc_id = h.doc_id"""
 )
 
@@ -154,9 +160,9 @@ FROM turns GROUP BY conv_id
 _OP5 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5

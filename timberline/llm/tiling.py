@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import count_bytes, slices, texts
+from .common import begin, count_bytes, materialize, sized, slices, texts
 
 MIN_MATCH, THRESHOLD, CHUNK_BYTES, FIRST_LENGTH = 5, 0.5, 4 << 20, 16
 _WORD = re.compile(r"[^\W_]+")
@@ -180,12 +181,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     chunks = max(1, -(-count_bytes(benchmark, "text") // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64(item, "text"), F.lit(chunks))
     schema = T.StructType([docs.schema[key], benchmark.schema[item], T.StructField("coverage", T.DoubleType()), T.StructField("matched", T.LongType()), T.StructField("tiles", T.LongType())])
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
     parts = []
     for c in range(chunks):
         rows = [(r[0], r[1]) for r in benchmark.where(chunk == c).collect()]
         shipped = spark.sparkContext.broadcast(Items(rows, min_match))
 
         def kernel(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            begin("tiling")
             items = shipped.value
             for whole in batches:
                 for batch in slices(whole, text):
@@ -193,7 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                     flat = [(i, items.ids[k], m / len(items.tokens[k]), m, n) for i, own in enumerate(found) for k, n, m in own if m >= threshold * len(items.tokens[k])]
                     if flat:
                         at, ids, coverage, matched, tiles = zip(*flat)
-                        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), pa.array(ids, pa.int64()), pa.array(coverage, pa.float64()), pa.array(matched, pa.int64()), pa.array(tiles, pa.int64())], names=schema.names)
+                        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), pa.array(ids, item_type), pa.array(coverage, pa.float64()), pa.array(matched, pa.int64()), pa.array(tiles, pa.int64())], names=schema.names)
 
         parts.append(docs.mapInArrow(kernel, schema))
     out = parts[0]
@@ -204,5 +207,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that no item contaminates; rows with a null id are kept."""
-    leaks = find_leaks(docs, benchmark, key, text, **options).select(F.col(key).alias("__leak")).distinct()
-    return docs.join(leaks.hint("shuffle_hash"), F.col(key) == F.col("__leak"), "left_anti")
+    leaks = materialize(find_leaks(docs, benchmark, key, text, **options).select(F.col(key).alias("__leak")).distinct(), "leaks", narrow=True)
+    return docs.join(sized(leaks, 64), F.col(key) == F.col("__leak"), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import begin, drop_clashing, remembers, slices, texts
+from .common import begin, bounded, drop_clashing, remembers, slices, texts
 
 #: Longest piece that goes to a matrix, and rows of a matrix; pieces that a worker remembers.
 MATRIX_BYTES, MATRIX_ROWS = 256, 1 << 14
@@ -237,6 +237,7 @@ def _decoded(vocabulary: Vocabulary, ends: np.ndarray, ids: np.ndarray) -> pa.Ar
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add `ids`, an array of ints, to each row."""
     df = drop_clashing(df, "ids")
+    bounded(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(open(rank_path, "rb").read())
     schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
@@ -252,6 +253,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> D
 def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """Add `decoded`, the bytes that the ids stand for."""
     df = drop_clashing(df, "decoded")
+    bounded(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(open(rank_path, "rb").read())
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())])
 
@@ -271,6 +273,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids") -> Dat
 def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add `ids`, and `decoded` as those ids spell it; one pass, so that a worker holds one vocabulary."""
     df = drop_clashing(df, "ids", "decoded")
+    bounded(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(open(rank_path, "rb").read())
     added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())]
     schema = T.StructType([*df.schema.fields, *added])

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 #: Bytes and rows that a Python kernel turns into Python objects at once.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 20_000
+#: Bytes of a batch that goes to a Python kernel.
+ARROW_BYTES = 4 << 20
 #: A table of up to so many bytes may be broadcast, once its size was counted.
 BROADCAST_BYTES = 32 << 20
 _DIRS: dict[str, list[str]] = {}
@@ -33,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Called before a Python kernel is planned: Spark would gather up to 64 MB for it at once, in buffers that double as they grow; 4 MB will do."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/timberline/{label}-{uuid.uuid4().hex}"
     _DIRS.setdefault(spark.sparkContext.applicationId, []).append(path)
@@ -42,10 +50,10 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
 
-    narrow: its rows are a few numbers each, so an eighth of the shuffle's partitions makes files enough.
+    narrow: its rows are a few numbers each, so a quarter of the shuffle's partitions makes files enough.
     """
     path, spark = new_path(df.sparkSession, label), df.sparkSession
-    (df.coalesce(max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))) if narrow else df).write.parquet(path)
+    (df.coalesce(max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import begin, materialize, new_path, spread
+from .common import begin, bounded, materialize, new_path, spread
 
 #: Rows of a block (16-bit postings) and of one with large components; segments of a list; bytes of queries sent at once; largest component of a 32-bit block.
 BLOCK_ROWS, WIDE_ROWS, SEGMENTS, CHUNK_BYTES, NARROW = 4096, 256, 12, 8 << 20, 1 << 20
@@ -182,6 +182,7 @@ def build(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale:
             if held[wide]:
                 yield flush(wide)
 
+    bounded(df.sparkSession)
     return df.where(F.col(key).isNotNull()).select(key, vector).mapInArrow(kernel, _INDEX)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import begin, materialize, numbered, remembers, salted_left_join, sized, slices, spread, texts
+from .common import begin, bounded, materialize, numbered, remembers, salted_left_join, sized, slices, spread, texts
 from .components import components, smallest_reachable
 
 #: Documents of the sample that decides which shingles come last, and how many of them must hold one; sets and shingles of a block.
@@ -390,6 +390,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
         of = lambda number, name: names.select(F.col("number").alias(number), F.col("__name").alias(name))
         return found.join(of("number", key), "number", "left").join(of("component_id", "__component"), "component_id", "left").select(key, "n_shingles", F.col("__component").alias("component_id"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    bounded(spark)
     named = rows.where("key is not null")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = materialize(_emit_keys(named, n, law, buckets).repartitionById(buckets, "bucket").mapInArrow(_meet(law, buckets), _PACKED), "sets-and-links")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import begin, drop_clashing, slices, texts
+from .common import begin, bounded, drop_clashing, slices, texts
 
 FEATURE_BITS, ORDERS, TRAIN_DOCS = 16, (1, 2, 3), 10_000
 #: Languages of a broadcast.
@@ -77,6 +77,7 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["row", "feature", "n"])
 
+    bounded(df.sparkSession)
     every = sorted(counts)
     for first in range(0, len(every), CHUNK):
         names = every[first : first + CHUNK]
@@ -97,6 +98,7 @@ _STATE = ("__best", "__top", "__sum")
 def predict(df: DataFrame, model: Iterable[Chunk], text: str = "text") -> DataFrame:
     """Add lang_pred; score: the posterior of that language, all languages being equally likely beforehand; and evidence."""
     df = drop_clashing(df, "lang_pred", "score", "evidence", *_STATE)
+    bounded(df.sparkSession)
     fields, sc = df.schema.fields, df.sparkSession.sparkContext
     state = [T.StructField("__best", T.StringType()), T.StructField("__top", T.DoubleType()), T.StructField("__sum", T.DoubleType())]
     chunks = [sc.broadcast(c) for c in model] or [sc.broadcast(([], np.zeros((0, 1 << FEATURE_BITS))))]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, begin, drop_clashing, new_path, remove, slices, spread, texts
+from .common import BROADCAST_BYTES, begin, bounded, drop_clashing, new_path, remove, slices, spread, texts
 
 SLOTS, KICKS = 4, 500
 
@@ -139,6 +139,7 @@ class LineLedger:
 
     def __init__(self, spark: SparkSession, path: str | None = None, threshold: int = 10, min_chars: int = 1, shards: int = 64):
         """shards: each shard's hot keys meet in one task, so let it grow with the number of hot keys (a million each, say)."""
+        bounded(spark)
         self.spark, self.path = spark, path or new_path(spark, "line-ledger")
         self.threshold, self.min_chars, self.shards, self.version = threshold, min_chars, shards, 0
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import begin, count_bytes, materialize, sized, slices, texts
+from .common import begin, bounded, count_bytes, materialize, sized, slices, texts
 
 MIN_MATCH, THRESHOLD, CHUNK_BYTES, FIRST_LENGTH = 5, 0.5, 4 << 20, 16
 _WORD = re.compile(r"[^\W_]+")
@@ -178,6 +178,7 @@ class Items:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
     """(key, item, coverage, matched, tiles) of each pair whose coverage reaches the threshold."""
     spark, docs, benchmark = docs.sparkSession, docs.select(key, text), benchmark.select(item, "text")
+    bounded(spark)
     chunks = max(1, -(-count_bytes(benchmark, "text") // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64(item, "text"), F.lit(chunks))
     schema = T.StructType([docs.schema[key], benchmark.schema[item], T.StructField("coverage", T.DoubleType()), T.StructField("matched", T.LongType()), T.StructField("tiles", T.LongType())])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, begin, materialize, new_path, remove, salted_left_join, slices
+from .common import BROADCAST_BYTES, begin, bounded, materialize, new_path, remove, salted_left_join, slices
 
 # Formats of the archive.
 RECORD_END, EMPTY_MEMBER = b"\r\n\r\n", gzip.compress(b"", mtime=0)
@@ -142,6 +142,7 @@ def revisits(narrow: DataFrame, least: int = 0) -> DataFrame:
 
 def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", broadcast_bytes: int = BROADCAST_BYTES) -> str:
     """Write monolithic archives (one gzip stream a file) to a new folder."""
+    bounded(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
     narrow = narrow_rows(pages)
     size = narrow.agg(F.avg("bytes").alias("mean"), F.max("bytes").alias("most")).first()

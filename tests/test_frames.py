@@ -10,7 +10,7 @@ from timberline.functions import register
 from timberline.operators import native, parse
 from timberline.operators.kernel import Lexer
 from timberline.plans.schema import LogSchema
-from timberline.sources import read_logs
+from timberline.sources import LogSource, read_callback, read_logs, read_until, write_raw
 from timberline.streaming import parse_stream
 
 LOG = "2024-01-01 00:00:00.000001 ERROR user_7 value=1.50 props={\"k\": 3}\n#0 frame\n#1 frame\n2024-01-01 00:00:00.000002 VIEW user_8 value=2.00 props={\"k\": 4}\n"
@@ -89,6 +89,73 @@ def test_what_needs_the_kernel(schema):
         native.rule_patterns(schema)
 
 
+@pytest.mark.parametrize("rule", ["v:(ab|c)+", "v:(ab)*c", "v:(a[0-9]|bc){2,900}"])
+def test_long_repetitions_need_the_kernel(rule):
+    """Java's matcher takes a stack frame for each round of such a repetition."""
+    with pytest.raises(native.NotNative):
+        native.tokens("text", LogSchema(" \n").with_rule(rule))
+
+
+def test_long_texts(spark):
+    schema = LogSchema(" \n").with_rule("v:(a|b|[c-e])+").with_rule("w:x{0,1}(yz|z){1,3}\\d*")
+    texts = ["ab" * 100_000, "ab" * 100_000 + "f", "xyzz" + "7" * 200_000, "q" * 200_000 + " c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", native.tokens("text", schema).alias("t")).collect()
+    assert {r.id: [x.rule for x in r.t] for r in rows} == {0: ["v"], 1: [None], 2: ["w"], 3: [None, "v"]}
+    lexer = Lexer(schema)
+    for r in rows:
+        assert [x.rule for x in r.t] == [lexer.names[x.rules[0]] if x.rules else None for x, _ in lexer.scan(texts[r.id].encode())]
+
+
+def test_columns_of_the_outputs_names(spark):
+    df = spark.createDataFrame([(1, LOG, "old", "old", 9)], "id long, text string, RAW string, rule string, event_idx int")
+    assert parse.parse_column(df, queries.LINES, outputs=("event_idx", "raw")).columns == ["id", "rule", "event_idx", "raw"]
+    assert [r.raw for r in native.event_rows(df, queries.LINES).orderBy("event_idx").collect()] == [r.raw for r in parse.parse_column(df, queries.LINES, outputs=("raw",)).collect()]
+    found = parse.variables(parse.parse_column(df, queries.LINES), "user")
+    assert len({c.lower() for c in found.columns}) == len(found.columns) and found.select("rule", "raw").first().rule == "user"
+    assert parse.capture_positions(df.withColumn("name", F.lit("old")), queries.LINES, "user").select("name").distinct().collect() == [("userID",)]
+    assert "loglevel" in parse.pivot_variables(parse.parse_column(df, queries.LINES).withColumn("loglevel", F.lit(1)), ["loglevel"]).columns
+
+
+def test_events_are_written_as_they_were_read(spark, tmp_path):
+    for n, text in enumerate(["a\n\n\nb\n", "a\n", "\n\n", LOG, "a\n\n"]):
+        out = str(tmp_path / str(n))
+        df = spark.createDataFrame([(text,)], "text string")
+        write_raw(parse.parse_column(df, queries.LINES if text == LOG else queries.NUMBERS, outputs=("raw",)), out)
+        assert "".join(p.read_text() for p in sorted((tmp_path / str(n)).glob("part-*"))) == text
+
+
+def test_counts_within_a_row(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, None])], "id long, text string")
+    rules = [None, "newLine", "int", "hasNumber"]
+    got = df.select("id", F.array(*native.rule_counts("text", queries.NUMBERS, rules)).alias("n")).collect()
+    lexer = Lexer(queries.NUMBERS)
+    for r in got[:-1]:
+        found = [lexer.names[x.rules[0]] if x.rules else None for x, _ in lexer.scan(ODD[r.id].encode())]
+        assert r.n == [found.count(x) for x in rules]
+
+
+def test_parts_of_tokens(spark):
+    df = spark.createDataFrame([("  user_7 é9:x",)], "text string")
+    schema = LogSchema(" \n").with_rule(r"word:[^ \n]*\d[^ \n]*")
+    tokens = parse.parse_column(df, schema, outputs=("tokens",)).select(F.explode("tokens").alias("t"))
+    got = tokens.select(parse.delimiter_of(F.col("t")).alias("d"), parse.body_of(F.col("t")).alias("b"), parse.bytes_of(F.col("t")).alias("n"), parse.part_of(F.col("t"), 1, 5).alias("p"), parse.part_of(F.col("t"), -3, 99).alias("w")).collect()
+    assert [tuple(r) for r in got] == [("", " ", 1, "", " "), (" ", "user_7", 7, "user", " user_7"), (" ", "é9:x", 6, "é9:", " é9:x")]
+
+
+def test_inputs_from_callables_and_the_data_source(spark, tmp_path):
+    pieces = lambda: iter([LOG.encode()[:20], LOG.encode()[20:]])
+    got = read_callback(spark, {"one": pieces, "none": lambda: []}, queries.LINES).collect()
+    want = parse.parse_column(spark.createDataFrame([("one", LOG)], "source string, text string"), queries.LINES).collect()
+    assert got == want
+    assert read_callback(spark, {}, queries.LINES).collect() == []
+    (tmp_path / "x.log").write_text(LOG)
+    spark.dataSource.register(LogSource)
+    rules = "delimiters: \\n\n" + "\n".join(f"{r.name}:{r.pattern}" for r in queries.LINES.rules)
+    read = spark.read.format("timberline").option("rules", rules).load(str(tmp_path)).drop("source").collect()
+    assert read == [r[1:] for r in want]
+    assert sorted(r.piece for r in read_until(spark, str(tmp_path), "user_").collect()) == sorted(LOG.split("user_"))
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.log").write_text(LOG)
     (tmp_path / "b.log").write_text(LOG * 2)

@@ -6,11 +6,15 @@ is looked at alone.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import automaton, regex
 from ..plans.schema import HEADER, LogSchema
+from .parse import without
 
 HIGH = regex.ALL_BYTES & ~((1 << 128) - 1)
 
@@ -19,8 +23,26 @@ class NotNative(ValueError):
     """The schema needs the kernel."""
 
 
+#: Rounds of a repetition of more than one character that Java's matcher, which takes a stack frame for each, is given at most.
+MOST_ROUNDS = 64
+
+
+def _single(tree):
+    """The set that a pattern is, if it is one character: alternatives of characters are one set."""
+    if tree[0] == "cap":
+        return _single(tree[2])
+    if tree[0] == "alt":
+        parts = [_single(p) for p in tree[1]]
+        return None if None in parts else ("set", functools.reduce(operator.or_, (p[1] for p in parts)))
+    return tree if tree[0] == "set" else None
+
+
 def _java(tree, unbounded: bool = False) -> str:
     kind = tree[0]
+    if kind in ("alt", "cap") and (one := _single(tree)):
+        return _java(one, unbounded)
+    if kind == "rep" and _single(tree[1]) is None and (tree[3] is None or tree[3] > MOST_ROUNDS):
+        raise NotNative("a long repetition of more than one character")
     if kind == "set":
         high = tree[1] & HIGH
         if high and (high != HIGH or not unbounded):
@@ -33,7 +55,7 @@ def _java(tree, unbounded: bool = False) -> str:
     if kind == "cap":
         return f"(?:{_java(tree[2])})"
     if tree[3] is None and tree[2] <= 1:
-        return f"(?:{_java(tree[1], True)}){'*+'[tree[2]]}"
+        return f"{_java(tree[1], True)}{'*+'[tree[2]]}"
     return f"(?:{_java(tree[1])}){{{tree[2]},{'' if tree[3] is None else tree[3]}}}"
 
 
@@ -69,6 +91,10 @@ def tokens(text: str, schema: LogSchema) -> Column:
         # A rule can begin at the start of the input or at a delimiter, not at both.
         at_first = (index == 0) & chunk.rlike(f"\\A[{d}]") & ~chunk.startswith("\n")
         rule = F.when(at_first, F.lit(None).cast("string")).otherwise(rule)
+        # The inner lambda binds the rule, which the patterns would else be tested for at each use.
+        return F.element_at(F.transform(F.array(rule), lambda r: made(chunk, r)), 1)
+
+    def made(chunk: Column, rule: Column) -> Column:
         token = lambda t, r: F.struct(t.alias("text"), r.alias("rule"))
         line = F.array(token(F.lit("\n"), F.lit("newLine")))
         rest = F.substring(chunk, 2, 2**31 - 1)
@@ -106,12 +132,21 @@ def events(text: str, schema: LogSchema) -> Column:
 
 
 def event_rows(df: DataFrame, schema: LogSchema, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """A row for each event: the columns of `keep`, event_idx and raw. A null text has no events."""
-    keep = [c for c in df.columns if c != text] if keep is None else keep
+    """A row for each event: the columns of `keep` (without ones named like the new ones), event_idx and raw. A null text has no events."""
+    keep = without([c for c in df.columns if c != text] if keep is None else keep, ["event_idx", "raw"])
     found = df.select(*keep, F.posexplode(events(text, schema)).alias("event_idx", "raw"))
     return found.select(*keep, F.col("event_idx").cast("long").alias("event_idx"), "raw")
 
 
+def rule_counts(text: str, schema: LogSchema, rules: list[str | None]) -> list[Column]:
+    """How many tokens of a text have each rule (None: static ones), folded within the row."""
+    found = tokens(text, schema)
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"n{i}") for i in range(len(rules))])
+    step = lambda held, t: F.struct(*[(held[f"n{i}"] + t["rule"].eqNullSafe(F.lit(r).cast("string")).cast("long")).alias(f"n{i}") for i, r in enumerate(rules)])
+    folded = F.aggregate(found, zero, step)
+    return [F.struct(folded.alias("held"))["held"][f"n{i}"] for i in range(len(rules))]
+
+
 def template(text: str, schema: LogSchema) -> Column:
     """The log types of a text's events, joined, for schemas without captures: static text as it is, variables as their rule's name."""
     if any(schema.capture_names(n) for n in schema.names):

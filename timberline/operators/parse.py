@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.schema import LogSchema
-from ..plans.wildcard import to_like
+from ..plans.wildcard import logtype_patterns, to_like
 from .kernel import Event, Lexer
 
 CAPTURE = T.StructType([T.StructField("name", T.StringType()), T.StructField("byte_start", T.LongType()), T.StructField("byte_end", T.LongType()), T.StructField("text", T.StringType()), T.StructField("leaf", T.BooleanType())])
 TOKEN = T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("rules", T.ArrayType(T.StringType())),
-    T.StructField("byte_start", T.LongType()), T.StructField("byte_end", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("captures", T.ArrayType(CAPTURE)),
+    T.StructField("byte_start", T.LongType()), T.StructField("byte_end", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("captures", T.ArrayType(CAPTURE)), T.StructField("delimiter", T.StringType()),
 ])
 EVENT = T.StructType([
     T.StructField("event_idx", T.LongType()), T.StructField("byte_start", T.LongType()), T.StructField("byte_end", T.LongType()), T.StructField("line_start", T.IntegerType()), T.StructField("raw", T.StringType()),
@@ -26,6 +28,12 @@ OUTPUTS = tuple(EVENT.names)
 SLICE_ROWS = 256
 
 
+def without(columns: list[str], names) -> list[str]:
+    """The columns that aren't named like a new one; names count as alike whatever their case."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def to_arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -57,20 +65,21 @@ def describe(lexer: Lexer, data: bytes, event: Event, base: int, line: int, outp
             if rules is not None and (not names or names[0] not in rules):
                 continue
             found = [{"name": c.name, "byte_start": base + c.start, "byte_end": base + c.end, "text": _text(data[c.start : c.end]), "leaf": c.leaf} for c in lexer.captures_of(data, t)]
-            tokens.append({"pos": pos, "text": _text(data[t.start : t.end]), "rule": names[0] if names else None, "rules": names, "byte_start": base + t.start, "byte_end": base + t.end, "line": line, "captures": found})
+            tokens.append({"pos": pos, "text": _text(data[t.start : t.end]), "rule": names[0] if names else None, "rules": names, "byte_start": base + t.start, "byte_end": base + t.end, "line": line, "captures": found, "delimiter": _text(data[t.start : t.start + t.prefixed])})
         out["tokens"] = tokens
     return out
 
 
 def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = OUTPUTS, rules: list[str] | None = None, terminal: bool = False) -> DataFrame:
-    """A row for each event of each row's text, which is a whole input; with the columns of `keep` and the outputs asked for.
+    """A row for each event of each row's text, which is a whole input; with the columns of `keep` (without ones named like an output) and the outputs
+    asked for.
 
     Only what `outputs` names is computed, and `tokens` has only those of the named rules where `rules` is given: Catalyst can't look into the
     kernel, so what a query doesn't need is left out here. A null text has no events. terminal: an empty event follows where a text without headers
     ends with the line feed that closes its last event.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
     lexer, wanted = Lexer(schema), tuple(c for c in OUTPUTS if c in outputs)
+    keep = without([c for c in df.columns if c != text] if keep is None else keep, wanted)
     made = T.StructType([f for f in EVENT.fields if f.name in wanted])
     result = T.StructType([*(df.schema[c] for c in keep), *made.fields])
     arrow, chosen = to_arrow(made), None if rules is None else frozenset(rules)
@@ -104,9 +113,10 @@ def dealt(df: DataFrame, per_core: int = 128 << 20) -> DataFrame:
 
 
 def variables(events: DataFrame, rule: str | None = None) -> DataFrame:
-    """A row for each variable token of events with `tokens`: their other columns, and the token's fields. rule: only this one."""
+    """A row for each variable token of events with `tokens`: their other columns, without ones named like a token's field, and these. rule: only this one."""
     held = F.filter("tokens", lambda t: (t["rule"] == rule) if rule else t["rule"].isNotNull() & (t["rule"] != "newLine"))
-    return events.select(*[c for c in events.columns if c not in ("tokens", "byte_start", "byte_end")], F.explode(held).alias("token")).select("*", "token.*").drop("token")
+    keep = without(events.columns, ["tokens", "token", *TOKEN.names])
+    return events.select(*keep, F.explode(held).alias("token")).select(*keep, "token.*")
 
 
 def capture(name: str, rule: str | None = None) -> Column:
@@ -124,10 +134,10 @@ def capture_positions(df: DataFrame, schema: LogSchema, rule: str, text: str = "
 
     starts and ends hold the newest round of a repetition first, and -1 for a round or an alternative that skipped the capture.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
     lexer = Lexer(schema)
     wanted = lexer.names.index(rule)
     made = T.StructType.fromDDL("event_idx long, pos int, " + POSITIONS)
+    keep = without([c for c in df.columns if c != text] if keep is None else keep, made.names)
     result = T.StructType([*(df.schema[c] for c in keep), *made.fields])
     arrow = to_arrow(made)
 
@@ -150,14 +160,36 @@ def capture_positions(df: DataFrame, schema: LogSchema, rule: str, text: str = "
 
 
 def without_delimiter(token: Column, schema: LogSchema) -> Column:
-    """A variable's text without the delimiter before it."""
-    return F.ltrim(token) if schema.delimiters == " " else F.when(F.substring(token, 1, 1).isin(*schema.delimiters), F.substring(token, 2, 2**31 - 1)).otherwise(token)
+    """A variable's text without the delimiter before it; of a text alone, the first character, if it is a delimiter."""
+    return F.when(F.substring(token, 1, 1).isin(*schema.delimiters), F.substring(token, 2, 2**31 - 1)).otherwise(token)
+
+
+def delimiter_of(token: Column) -> Column:
+    """The delimiter with which a token (a struct of `tokens`) starts; empty for static text, and for a variable at the start of its input or line."""
+    return token["delimiter"]
+
+
+def body_of(token: Column) -> Column:
+    """A token's text behind its delimiter."""
+    return F.substring(token["text"], F.length(token["delimiter"]) + 1, F.lit(2**31 - 1))
+
+
+def bytes_of(token: Column) -> Column:
+    """A token's length in bytes, its delimiter included."""
+    return token["byte_end"] - token["byte_start"]
+
+
+def part_of(token: Column, start: int | Column, end: int | Column) -> Column:
+    """The token between two byte positions counted from its first byte, the end exclusive; positions beyond its ends are cut."""
+    low = F.greatest(F.lit(start) if isinstance(start, int) else start, F.lit(0))
+    high = F.least(F.lit(end) if isinstance(end, int) else end, bytes_of(token))
+    return F.decode(F.substring(token["text"].cast("binary"), (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")), "UTF-8")
 
 
 def pivot_variables(events: DataFrame, names: list[str]) -> DataFrame:
     """The first variable of each name, as a column of that name."""
     first = lambda n: F.try_element_at(F.filter("tokens", lambda t: t["rule"] == n), F.lit(1))["text"]
-    return events.select("*", *[first(n).alias(n) for n in names])
+    return events.select(*without(events.columns, names), *[first(n).alias(n) for n in names])
 
 
 def multiline(events: DataFrame) -> DataFrame:
@@ -171,3 +203,12 @@ def logtype_counts(events: DataFrame) -> DataFrame:
 def search(events: DataFrame, query: str, column: str = "raw") -> DataFrame:
     """Events that a wildcard query matches as a whole. On a raw column of a table the filter reaches the scan."""
     return events.where(F.col(column).like(to_like(query)))
+
+
+def search_by_logtype(events: DataFrame, query: str, schema: LogSchema, column: str = "raw", logtype: str = "logtype") -> DataFrame:
+    """The events of `search`, found by reading the query first: only events whose log type some reading allows are looked at. On a table that is
+    stored with its log types, both filters reach the scan, and the log type, which has few values, decides cheaply."""
+    patterns = logtype_patterns(query, schema)
+    if patterns is not None:
+        events = events.where(functools.reduce(operator.or_, (F.col(logtype).like(p) for p in patterns)) if patterns else F.lit(False))
+    return search(events, query, column)

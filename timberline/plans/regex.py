@@ -16,12 +16,16 @@ DIGIT, SPACE, WORD = b"0123456789", b" \t\n\r\x0b\f", b"ABCDEFGHIJKLMNOPQRSTUVWX
 CONTROL = {"t": "\t", "n": "\n", "v": "\x0b", "f": "\f", "r": "\r"}
 
 
+#: What an expression can begin with.
+ATOMS = ("character", "(", "[", ".", "\\")
+
+
 class PatternError(ValueError):
-    """A pattern that the language doesn't have; position counts from 0 in the pattern."""
+    """A pattern that the language doesn't have; position counts from 0 in the pattern. expected: what could have stood there."""
 
-    def __init__(self, message: str, position: int):
+    def __init__(self, message: str, position: int, expected: tuple[str, ...] = ()):
         super().__init__(f"{message} at position {position}")
-        self.position = position
+        self.position, self.expected = position, expected
 
 
 def mask_of(chars: bytes) -> int:
@@ -39,8 +43,8 @@ class _Parser:
     def __init__(self, text: str, dot: int):
         self.text, self.at, self.dot = text, 0, dot
 
-    def fail(self, message: str):
-        raise PatternError(message, self.at)
+    def fail(self, message: str, *expected: str):
+        raise PatternError(message, self.at, expected)
 
     def peek(self) -> str:
         return self.text[self.at] if self.at < len(self.text) else ""
@@ -48,7 +52,7 @@ class _Parser:
     def take(self, expected: str = "") -> str:
         c = self.peek()
         if not c or expected and c != expected:
-            self.fail(f"expected {expected!r}" if expected else "unexpected end")
+            self.fail(f"expected {expected!r}" if expected else "unexpected end", *([expected] if expected else ATOMS))
         self.at += 1
         return c
 
@@ -64,7 +68,7 @@ class _Parser:
         while self.peek() not in ("", "|", ")"):
             parts.append(self.repeated())
         if not parts:
-            self.fail("empty expression")
+            self.fail("empty expression", *ATOMS)
         return parts[0] if len(parts) == 1 else ("cat", parts)
 
     def repeated(self):
@@ -78,7 +82,7 @@ class _Parser:
                     self.at += 1
                     most = self.number() or None  # {n,0}: without end
                 elif least == 0:
-                    self.fail("{0} repeats nothing")
+                    self.fail("{0} repeats nothing", ",")
                 self.take("}")
                 if most is not None and most < least:
                     self.fail("bounds in the wrong order")
@@ -90,7 +94,7 @@ class _Parser:
     def number(self) -> int:
         found = re.match(r"\d+", self.text[self.at :])
         if not found:
-            self.fail("expected a number")
+            self.fail("expected a number", "digit")
         self.at += found.end()
         return int(found[0])
 
@@ -102,7 +106,7 @@ class _Parser:
                 self.take("<")
                 found = re.match(r"[A-Za-z0-9_]+", self.text[self.at :])
                 if not found:
-                    self.fail("expected a capture name")
+                    self.fail("expected a capture name", "letter", "digit", "_")
                 self.at += found.end()
                 self.take(">")
                 inner = ("cap", found[0], self.alternation())
@@ -134,7 +138,8 @@ class _Parser:
             return 1 << ord(CONTROL[c])
         if c in SPECIAL:
             return 1 << ord(c)
-        self.fail(f"unknown escape \\{c}")
+        self.at -= 1
+        self.fail(f"unknown escape \\{c}", *sorted({*_CLASSES, *CONTROL, *SPECIAL}))
 
     def char_class(self) -> int:
         negated = self.peek() == "^"
@@ -170,7 +175,7 @@ def parse(text: str, dot: int = ALL_BYTES):
     parser = _Parser(text, dot)
     tree = parser.alternation()
     if parser.at < len(text):
-        parser.fail(f"unexpected {parser.peek()!r}")
+        parser.fail(f"unexpected {parser.peek()!r}", "end", "|", *ATOMS)
     return tree
 
 

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import register
 from .operators import native, parse
 from .plans import wildcard
 from .plans.schema import LogSchema
+from .sources import LogSource, read_callback, read_logs, read_split, read_until, write_raw
+from .sources.scratch import scratch
+from .streaming import parse_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +37,7 @@ header:\[conv (?<conv>\d+) turn (?<turn>\d+)\] (?<role>[a-z]+):
 URLS = LogSchema.parse(r"""delimiters:\n
 url:https{0,1}://(?<host>[^/\n]+)/(?<path>(?<lang>[a-z]+)/(?<id>\d+))[^\n]*
 """)
-FLAGS = LogSchema(" ").with_rule(r"int:\d+").with_rule(r"hasNumber:[A-Za-z]*\d+[A-Za-z]*")
+ROOMS = LogSchema(" ").with_rule(r"number:\d+").with_rule(r"word:[a-z]+")
 
 
 PLAIN_LINES = LogSchema.parse(r"""delimiters: \n
@@ -81,8 +85,12 @@ def conv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_tokens_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(native.tokens("text", NUMBERS)).alias("t"))
-    return found.groupBy(F.coalesce("t.rule", F.lit("static")).alias("rule")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    """Counted within each document, then summed: no row for each token, and no distinct."""
+    rules = [None, "newLine", *NUMBERS.names]
+    held = _table(spark, sf_dir, "documents").select(F.array(*native.rule_counts("text", NUMBERS, rules)).alias("held"))
+    sums = held.agg(*[F.struct(F.sum(F.col("held")[i]).alias("n"), F.count(F.when(F.col("held")[i] > 0, 1)).alias("docs")).alias(f"c{i}") for i in range(len(rules))])
+    each = F.array(*[F.struct(F.lit(r or "static").alias("rule"), F.col(f"c{i}.n").alias("n"), F.col(f"c{i}.docs").alias("docs")) for i, r in enumerate(rules)])
+    return sums.select(F.explode(each).alias("x")).select("x.*").where("n > 0")
 
 
 def doc_tokens_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +128,110 @@ def wildcard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.search(events, "*PURCHASE user_*7 value=1?.*").select("event_id", "raw")
 
 
+def logtype_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over events with their log types, of which the reading of the query leaves some."""
+    events = parse.parse_column(event_lines(spark, sf_dir), PLAIN_LINES, keep=["event_id"], outputs=("raw", "logtype"))
+    return parse.search_by_logtype(events, "*PURCHASE user_*7 value=1?.*", PLAIN_LINES).select("event_id", "raw", "logtype")
+
+
 def interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wildcard.interpretations(spark, ["abc123* *123"], FLAGS).select("query", "logtype", "wildcard_flags")
+    """Readings of one query for each kind of event and each of fifty rooms: `kind room`, the word and the number being variables or not."""
+    found = _table(spark, sf_dir, "events").select(F.concat_ws(" ", "event_type", (F.col("user_id") % 50).cast("string")).alias("q")).distinct()
+    return wildcard.interpretations(spark, [r.q for r in found.collect()], ROOMS).select("query", "logtype", "wildcard_flags")
 
 
 def schema_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wildcard.schema_types(spark, ["*1*", "*a*", "*a1*", "*=*", "abc123", "=", "1", "a*1", "a1"], FLAGS)
+    """What a kind of event between stars, and a number before one, could be."""
+    e = _table(spark, sf_dir, "events")
+    found = e.select(F.concat(F.lit("*"), "event_type", F.lit("*")).alias("q")).union(e.select(F.concat((F.col("user_id") % 50).cast("string"), F.lit("*")))).distinct()
+    return wildcard.schema_types(spark, [r.q for r in found.collect()], ROOMS)
+
+
+def _line_files(spark: SparkSession, sf_dir: str, label: str) -> str:
+    """A folder of text files with the lines of all events; each line feed ends a line."""
+    path = scratch(spark, label)
+    lines = event_lines(spark, sf_dir)
+    lines.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("text").write.text(path)
+    return path
+
+
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read in byte ranges."""
+    events = read_split(spark, _line_files(spark, sf_dir, "split"), PLAIN_LINES, ("raw", "timestamp", "logtype"))
+    # At the end of a file the line feed is a variable, since no header follows it.
+    return events.select("raw", "timestamp", F.regexp_replace("logtype", r"(\n|<newLine>)\z", "").alias("logtype"))
+
+
+def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read whole, with a count of their events."""
+    events = read_logs(spark, _line_files(spark, sf_dir, "whole"), PLAIN_LINES, ("event_idx", "timestamp"))
+    return events.groupBy("source").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("event_idx").alias("last_idx")).agg(F.sum("n").alias("events"), F.min("first").alias("first"), F.sum(F.col("n") - F.col("last_idx")).alias("files"))
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read by the data source `timberline`."""
+    spark.dataSource.register(LogSource)
+    rules = "delimiters: \\n\n" + "\n".join(f"{r.name}:{r.pattern}" for r in PLAIN_LINES.rules)
+    found = spark.read.format("timberline").option("rules", rules).load(_line_files(spark, sf_dir, "source"))
+    return found.select("raw", "timestamp", F.element_at("tokens", 2)["text"].alias("kind"))
+
+
+def file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read up to each delimiter."""
+    found = read_until(spark, _line_files(spark, sf_dir, "pieces"), "user_")
+    return found.select(F.regexp_extract("piece", r"\A(\d+) value=", 1).alias("user_id")).where("user_id <> ''").groupBy(F.col("user_id").cast("long")).agg(F.count("*").alias("n"))
+
+
+def called_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs that a callable gives: for each kind of event a log of its name, as often as the name has letters, in pieces of three bytes."""
+    kinds = sorted(r[0] for r in _table(spark, sf_dir, "events").select("event_type").distinct().collect())
+
+    def log(kind: str):
+        data = "".join(f"{kind} {n}\n" for n in range(len(kind))).encode()
+        return lambda: (data[i : i + 3] for i in range(0, len(data), 3))
+
+    return read_callback(spark, {k: log(k) for k in kinds}, ROOMS, ("event_idx", "raw")).select("source", "event_idx", "raw")
+
+
+def raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' events written as text and read again, line by line."""
+    path = scratch(spark, "raw")
+    write_raw(native.event_rows(_table(spark, sf_dir, "documents"), NUMBERS, keep=[]), path)
+    return spark.read.text(path).groupBy(F.length("value").cast("long").alias("chars")).agg(F.count("*").alias("n"))
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that arrive as a stream under eight keys; the last event of a key waits for what may follow it."""
+    pieces, done = scratch(spark, "pieces"), scratch(spark, "streamed")
+    lines = event_lines(spark, sf_dir).select((F.col("event_id") % 8).cast("string").alias("key"), F.col("event_id").alias("seq"), F.concat("text", F.lit("\n")).alias("text"))
+    lines.repartition(8, "key").write.parquet(pieces)
+    events = parse_stream(spark.readStream.schema(lines.schema).parquet(pieces), PLAIN_LINES, "key", outputs=("timestamp", "logtype"))
+    sink = events.writeStream.format("parquet").option("path", done).option("checkpointLocation", scratch(spark, "stream-state"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(done).select("key", "event_idx", "timestamp", "logtype")
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions of SQL over lines of events."""
+    register(spark, PLAIN_LINES, "lines_")
+    lines = event_lines(spark, sf_dir)
+    return spark.sql(
+        "select l.event_id, e.event_idx, e.timestamp, e.is_multiline, lines_logtype(l.text) as logtype, size(lines_log_tokens(l.text)) as tokens from {lines} l, lateral lines_log_parse(l.text) e", lines=lines
+    )
+
+
+def token_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimiter, body, length and a part of the amount's token."""
+    events = parse.parse_column(event_lines(spark, sf_dir), PLAIN_LINES, keep=["event_id"], outputs=("tokens",), rules=["amount"])
+    token = F.element_at("tokens", 1)
+    return events.select("event_id", parse.delimiter_of(token).alias("delimiter"), parse.body_of(token).alias("body"), parse.bytes_of(token).alias("bytes"), parse.part_of(token, 1, 6).alias("part"))
+
+
+def clashing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that has columns of the outputs' names: the outputs take their place."""
+    lines = event_lines(spark, sf_dir).withColumns({"raw": F.lit("old"), "Rule": F.lit("old"), "event_idx": F.lit(-1)})
+    events = parse.parse_column(lines, PLAIN_LINES, outputs=("event_idx", "raw", "tokens"))
+    return parse.variables(events, "user").select("event_id", "event_idx", "raw", "rule")
 
 
 def logtype_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +298,8 @@ def hourly_logtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (synth_roundtrip, logtype_counts, doc_events, doc_tokens_by_rule, doc_tokens_kernel, doc_variables, conv_multiline, url_captures, wildcard_search, interpretations, schema_types,
-        logtype_topk, doc_templates, multiline_errors, props_capture, delim_spanning, rule_priority, optional_capture, header_first_timestamp, repeated_captures, hourly_logtypes, doc_events_kernel, conv_events)
+        logtype_topk, doc_templates, multiline_errors, props_capture, delim_spanning, rule_priority, optional_capture, header_first_timestamp, repeated_captures, hourly_logtypes, doc_events_kernel, conv_events,
+        logtype_search, split_files, whole_files, source_files, file_pieces, called_back, raw_round_trip, streamed, sql_functions, token_parts, clashing_columns)
 }
 
 _LINE = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || upper(event_type) || ' user_' || user_id || ' value=' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ' props=' || props"
@@ -236,11 +343,27 @@ ORACLES = {
                CAST(regexp_extract(url, '^https?://([^/\n]+)/([a-z]+)/([0-9]+)', 3) AS BIGINT) AS id FROM pages""",
     "wildcard_search": f"SELECT event_id, raw FROM (SELECT event_id, {_LINE} AS raw FROM events) WHERE raw LIKE '%PURCHASE user\\_%7 value=1_.%' ESCAPE '\\'",
     "interpretations": """
-        SELECT 'abc123* *123' AS query, * FROM (VALUES
-          ('abc123* *123', '0'), ('abc123*** *123', '0'), ('abc123* ***123', '0'), ('abc123*** ***123', '0'),
-          ('abc123* **<int>(*123)', '01'), ('abc123*** **<int>(*123)', '01'), ('abc123* **<hasNumber>(*123)', '01'), ('abc123*** **<hasNumber>(*123)', '01'),
-          ('<hasNumber>(abc123*)** *123', '10'), ('<hasNumber>(abc123*)** ***123', '10'),
-          ('<hasNumber>(abc123*)** **<int>(*123)', '101'), ('<hasNumber>(abc123*)** **<hasNumber>(*123)', '101')) t(logtype, wildcard_flags)""",
+        WITH q AS (SELECT DISTINCT event_type AS w, user_id % 50 AS n FROM events)
+        SELECT w || ' ' || n AS query, unnest([w || ' ' || n, '<word>(' || w || ') ' || n, w || ' <number>(' || n || ')', '<word>(' || w || ') <number>(' || n || ')']) AS logtype,
+               unnest(['0', '00', '00', '000']) AS wildcard_flags FROM q""",
+    "logtype_search": f"""
+        SELECT event_id, raw, '<timestamp> ' || upper(event_type) || ' user_<userID> value=<val> props={{"k": <k>}}' AS logtype
+        FROM (SELECT event_id, event_type, {_LINE} AS raw FROM events) WHERE raw LIKE '%PURCHASE user\\_%7 value=1_.%' ESCAPE '\\'""",
+    "split_files": f"""SELECT {_LINE} || chr(10) AS raw, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, '<timestamp> ' || upper(event_type) || ' user_<userID> value=<val> props={{"k": <k>}}' AS logtype FROM events""",
+    "whole_files": "SELECT count(*) AS events, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, 4 AS files FROM events",
+    "source_files": f"SELECT {_LINE} || chr(10) AS raw, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, ' ' || upper(event_type) AS kind FROM events",
+    "file_pieces": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
+    "called_back": "SELECT event_type AS source, i AS event_idx, event_type || ' ' || i || chr(10) AS raw FROM (SELECT event_type, unnest(range(length(event_type))) AS i FROM (SELECT DISTINCT event_type FROM events))",
+    "raw_round_trip": """
+        SELECT length(line) AS chars, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line FROM documents WHERE text <> '') GROUP BY ALL""",
+    "streamed": """
+        SELECT * EXCLUDE (last_idx) FROM (SELECT (event_id % 8)::VARCHAR AS key, row_number() OVER w - 1 AS event_idx, count(*) OVER (PARTITION BY event_id % 8) - 1 AS last_idx, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp,
+          '<timestamp> ' || upper(event_type) || ' user_<userID> value=<val> props={"k": <k>}' || chr(10) AS logtype FROM events WINDOW w AS (PARTITION BY event_id % 8 ORDER BY event_id))
+        WHERE event_idx < last_idx""",
+    "sql_functions": """
+        SELECT event_id, 0 AS event_idx, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, false AS is_multiline, '<timestamp> ' || upper(event_type) || ' user_<userID> value=<val> props={"k": <k>}' AS logtype, 5 AS tokens FROM events""",
+    "token_parts": "SELECT event_id, ' ' AS delimiter, 'value=' || v AS body, length(v) + 7 AS bytes, 'value' AS part FROM (SELECT event_id, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS v FROM events)",
+    "clashing_columns": f"SELECT event_id, 0 AS event_idx, {_LINE} AS raw, 'user' AS rule FROM events",
     "logtype_topk": """
         SELECT '<timestamp> ' || upper(event_type) || ' user_<userID> value=<val> props={"k": <k>}' AS logtype, count(*) AS n FROM events GROUP BY event_type
         ORDER BY n DESC, logtype LIMIT 3""",
@@ -267,8 +390,6 @@ ORACLES = {
     "hourly_logtypes": """
         SELECT strftime(ts, '%Y-%m-%d %H') AS hour, CASE WHEN grouping(event_type) = 0 THEN '<timestamp> ' || upper(event_type) || ' user_<userID> value=<val> props={"k": <k>}' END AS logtype, count(*) AS n
         FROM events GROUP BY GROUPING SETS ((strftime(ts, '%Y-%m-%d %H'), event_type), (strftime(ts, '%Y-%m-%d %H')))""",
-    "schema_types": """
-        SELECT * FROM (VALUES ('*1*', 'int'), ('*1*', 'hasNumber'), ('*a*', 'hasNumber'), ('*a1*', 'hasNumber'), ('abc123', 'hasNumber'),
-          ('1', 'int'), ('1', 'hasNumber'), ('a*1', 'hasNumber'), ('a1', 'hasNumber')) t(query, rule)""",
+    "schema_types": "SELECT DISTINCT '*' || event_type || '*' AS query, 'word' AS rule FROM events UNION SELECT DISTINCT (user_id % 50) || '*', 'number' FROM events",
 }
 ORACLES["doc_events_kernel"] = ORACLES["doc_events"]

@@ -10,11 +10,14 @@ from ..plans.schema import LogSchema
 
 
 def read_logs(spark: SparkSession, path: str, schema: LogSchema, outputs: tuple[str, ...] = OUTPUTS, **options: str) -> DataFrame:
-    """Events of all files under a path, with their file as `source`. Each file is one input and one task's work, so large logs should come in many files."""
+    """Events of all files under a path, with their file as `source`. Each file is one input, one task's work, and held as a whole: this is for schemas whose
+    rules match line feeds, and files of some MB. `read_split` takes files of any size."""
     files = spark.read.format("binaryFile").options(**options).load(path)
     return parse_column(files.select(F.col("path").alias("source"), "content"), schema, "content", ["source"], outputs)
 
 
 def write_raw(events: DataFrame, path: str) -> None:
-    """The events' text, each on lines of its own."""
-    events.select(F.rtrim("raw", F.lit("\n")).alias("value")).write.text(path)
+    """The events' text, as it was read: each event's last line feed is the one that the writer sets. An event without one, which can only be the last of
+    its input, gets one."""
+    text = F.when(F.col("raw").endswith("\n"), F.substring("raw", F.lit(1), F.length("raw") - 1)).otherwise(F.col("raw"))
+    events.select(text.alias("value")).write.option("lineSep", "\n").text(path)

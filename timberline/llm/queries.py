@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.parse import dealt
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A whole table; one of fewer files than cores is dealt out to all cores if it is small."""
+    return dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.operators.parse import dealt
 from timberline.llm import bpe, common, jaccard_rtree, langid, line_ledger, tiling
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -48,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), "stage")
     return docs

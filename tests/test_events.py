@@ -139,7 +139,7 @@ class Declared:
             best = (at + 1, (0, *self.rules_of(b"", True))) if line_feed else None
             if at == 0 or bounded:
                 inner = at + (line_feed or at > 0)
-                for end in [*marks, n]:
+                for end in [e for e in (*marks, n) if e > inner or not line_feed]:
                     # The line feed that is the first delimiter inside stops what hasn't matched before it or at it.
                     if marks and data[marks[0]] == 10 and end > marks[0] and (best is None):
                         break

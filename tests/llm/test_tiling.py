@@ -76,6 +76,29 @@ def test_chunks_find_the_same(spark, monkeypatch):
     assert sorted(map(tuple, tiling.find_leaks(df, bench).collect())) == whole
 
 
+def test_a_large_benchmark_is_joined(spark, monkeypatch):
+    # Moved parts, repeated words, equal texts, very long texts, null and repeated ids on both sides; every hash may be a false positive of a tiny bitmap.
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(3, 30)))) for i in range(40)] + [(7, "spam " * 12), (None, "é ß straße NAÏVE co-op x1 y2 z3"), (41, None), (42, "")]
+    rows = [(1, None), (2, ""), (3, "spam " * 20_000), (4, "É SS straße naïve CO op X1 y2 z3"), (5, "spam " * 5)]
+    for i in range(150):
+        own = [x for _, t in rng.sample(items[:41], 2) for x in (t or "").split()]
+        cut = rng.randrange(len(own))
+        rows.append((rng.choice([None, i, i, i // 2]), " ".join([*rng.choices(vocabulary, k=rng.randint(0, 40)), *own[cut:], *rng.choices(vocabulary, k=3), *own[:cut]])))
+    rows += rows[:60]
+    df = spark.createDataFrame(rows, "name string, text string").selectExpr("*", "1 as item_id", "2 as print", "3 as hash").repartition(5)
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("cast(item_id as string) as item_id", "text", "3 as name")
+    plain = lambda found: sorted(tuple(map(str, r)) for r in found.collect())
+    whole = plain(tiling.find_leaks(df, bench, "name"))
+    assert len(whole) > 200 and any(r[:2] == ("3", "7") for r in whole)
+    monkeypatch.setattr(tiling, "CHUNK_BYTES", 50)
+    joined = tiling.find_leaks(df, bench, "name")
+    assert joined.columns == ["name", "item_id", "coverage", "matched", "tiles"] and plain(joined) == whole
+    assert sorted(str(r.name) for r in tiling.clean(df, bench, "name").collect()) == sorted(str(r[0]) for r in rows if str(r[0]) not in {w[0] for w in whole} or r[0] is None)
+    assert tiling.find_leaks(df.limit(0), bench, "name").collect() == []
+
+
 def test_a_word_repeated_very_often():
     items = tiling.Items([(1, "a a a a a a a a b c d e f g"), (2, "spam " * 40)], 5)
     found = items.find(["a " * 20_000, "spam " * 30_000, "b c d e f g"])

@@ -72,6 +72,17 @@ def test_events_that_need_the_kernel(rules):
         native.events("text", schema)
 
 
+@pytest.mark.parametrize("rules", ["", "a:a*\nb:[a1]+\na:1b?", "newLine:1+\nn:-?1+\nw:[^ ,\\n]*1[^ ,\\n]*", "x:(ab|1){0,3}"])
+def test_counts_on_the_text_are_those_of_its_tokens(spark, rules):
+    rng = random.Random(8)
+    schema = LogSchema.parse("delimiters: ,\\n\n" + rules) if rules else queries.NUMBERS
+    texts = [*ODD, None, "a" * 100_000, "1," * 50_000, *("".join(rng.choices("ab1é🙂- ,\n", k=rng.randint(0, 12))) for _ in range(1500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    names = [None, "newLine", *schema.names, "unknown"]
+    for r in df.select(native.tokens("text", schema)["rule"].alias("found"), F.array(*native.rule_counts("text", schema, names)).alias("n"), "text").collect():
+        assert r.n == ([None] * len(names) if r.text is None else [r.found.count(x) for x in names]), r.text
+
+
 def test_native_templates_are_the_kernels(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "id long, text string")
     got = {r.id: r.t for r in df.select("id", native.template("text", queries.NUMBERS).alias("t")).collect()}

@@ -139,12 +139,29 @@ def event_rows(df: DataFrame, schema: LogSchema, text: str = "text", keep: list[
 
 
 def rule_counts(text: str, schema: LogSchema, rules: list[str | None]) -> list[Column]:
-    """How many tokens of a text have each rule (None: static ones), folded within the row."""
-    found = tokens(text, schema)
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"n{i}") for i in range(len(rules))])
-    step = lambda held, t: F.struct(*[(held[f"n{i}"] + t["rule"].eqNullSafe(F.lit(r).cast("string")).cast("long")).alias(f"n{i}") for i, r in enumerate(rules)])
-    folded = F.aggregate(found, zero, step)
-    return [F.struct(folded.alias("held"))["held"][f"n{i}"] for i in range(len(rules))]
+    """How many tokens of a text have each rule (None: static ones), counted on the text as it is: each pattern finds whole tokens of its rule, which no rule
+    before it matches. The static ones are what is left of all stretches, whose number the delimiters give."""
+    d, patterns = delimiter_class(schema), rule_patterns(schema)
+    whole = [f"(?:{p})(?=[{d}]|\\z)" for _, p in patterns]
+    unless = lambda own: "".join(f"(?!{w})" for w in own)
+    matches = lambda pattern: F.regexp_count(F.col(text), F.lit(pattern)).cast("long")
+    once = lambda pattern: F.col(text).rlike(pattern).cast("long")
+    held: dict[str, Column] = {}
+    for i, (name, _) in enumerate(patterns):
+        token = unless(whole[:i]) + whole[i]
+        # After delimiters; and at the start of the input, where a rule begins without one.
+        n = matches(f"[{d}]{token}") + once(f"\\A(?=[^{d}]){token}") - once(f"\\A(?!\n)[{d}]{token}")
+        held[name] = held[name] + n if name in held else n
+    # A delimiter is a character, so without it a text is shorter by as many as there were.
+    chars = sorted({*schema.delimiters, "\n"})
+    stretches = sum((F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit(""))) for c in chars), F.lit(0)) + once(f"\\A[^{d}]")
+    bare = matches(f"\n{unless(whole)}(?=[{d}]|\\z)")  # a line feed alone is no static token, and one before static text is a token beside it
+    static = functools.reduce(operator.sub, held.values(), stretches.cast("long")) - bare
+    none = F.when(F.col(text).isNotNull(), F.lit(0).cast("long"))
+    lines = matches(f"\n{unless(whole)}")
+    if "newLine" in held:
+        lines = lines + held["newLine"]
+    return [static if r is None else lines if r == "newLine" else held.get(r, none) for r in rules]
 
 
 def template(text: str, schema: LogSchema) -> Column:

@@ -2,11 +2,13 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from timberline.operators.kernel import Lexer, StreamParser
+from timberline.operators.parse import EVENT, OUTPUTS, Columns, describe, to_arrow
 from timberline.plans import regex
 from timberline.plans.schema import DEFAULT, HEADER, NEWLINE, LogSchema
 
@@ -173,6 +175,27 @@ def test_events_partition_the_input(lx, text):
     assert at == len(data)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.sampled_from([lx for lx in LEXERS if lx.by_lines]), PIECES, st.booleans())
+def test_events_by_lines_are_the_events_of_the_tokens(lx, text, terminal):
+    data = text.encode()
+    assert [(e.start, e.end) for e in lx.bare_events(data, terminal)] == [(e.start, e.end) for e in lx.events(data, terminal=terminal)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(LEXERS), st.lists(PIECES, max_size=4), st.sampled_from([None, frozenset(["newLine", "count", "header", "value"])]))
+def test_columns_hold_what_events_are_described_by(lx, texts, rules):
+    made, rows = Columns(lx, OUTPUTS, rules), []
+    for data in [t.encode() + b"\xff" * (n == 2) for n, t in enumerate(texts)]:
+        line = 0
+        for n, event in enumerate(lx.events(data)):
+            rows.append({"event_idx": n} | describe(lx, data, event, 0, line, OUTPUTS, rules))
+            made.add(n, data, event, line)
+            line += data.count(b"\n", event.start, event.end)
+    arrow = to_arrow(EVENT)
+    assert pa.RecordBatch.from_arrays(made.arrays(arrow), schema=arrow).to_pylist() == pa.RecordBatch.from_pylist(rows, arrow).to_pylist()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.sampled_from([lx for lx in LEXERS if lx.chunked]), PIECES)
 def test_stretches_give_the_state_machines_tokens(lx, text):

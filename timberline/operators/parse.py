@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import operator
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..plans.schema import LogSchema
 from ..plans.wildcard import logtype_patterns, to_like
-from .kernel import Event, Lexer
+from .kernel import Capture, Event, Lexer, Token
 
 CAPTURE = T.StructType([T.StructField("name", T.StringType()), T.StructField("byte_start", T.LongType()), T.StructField("byte_end", T.LongType()), T.StructField("text", T.StringType()), T.StructField("leaf", T.BooleanType())])
 TOKEN = T.StructType([
@@ -70,6 +71,86 @@ def describe(lexer: Lexer, data: bytes, event: Event, base: int, line: int, outp
     return out
 
 
+def _strings(found: list[bytes | None]) -> pa.Array:
+    """Texts of bytes; what isn't UTF-8 is replaced."""
+    try:
+        return pa.array(found, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else _text(x) for x in found], pa.string())
+
+
+def _lists(sizes: list[int], values: pa.Array, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(itertools.accumulate(sizes, initial=0), pa.int32()), values, type=kind)
+
+
+def _structs(columns: list, kind: pa.DataType) -> pa.Array:
+    fields = [kind.field(i) for i in range(kind.num_fields)]
+    return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+
+
+class Columns:
+    """The outputs of `describe` for many events, built column by column, without an object for each token."""
+
+    def __init__(self, lexer: Lexer, outputs: tuple[str, ...], rules: frozenset[str] | None):
+        self.lexer, self.outputs = lexer, outputs
+        self.chosen = None if rules is None else {n for n, name in enumerate(lexer.names) if name in rules}
+        self.places: list[tuple[int, int, int, int]] = []
+        self.values: dict[str, list] = {c: [] for c in ("raw", "has_header", "timestamp", "is_multiline", "logtype") if c in outputs}
+        self.sizes: list[int] = []
+        self.tokens: list[tuple[bytes, Token, int, int]] = []  # with their data, place and line
+        self.found: list[tuple[bytes, Capture]] = []
+        self.held: list[int] = []  # captures of each token
+
+    def add(self, number: int, data: bytes, event: Event, line: int) -> None:
+        lexer, values = self.lexer, self.values
+        self.places.append((number, event.start, event.end, line))
+        if "raw" in values:
+            values["raw"].append(data[event.start : event.end])
+        if "has_header" in values:
+            values["has_header"].append(lexer.has_header(event))
+        if "timestamp" in values:
+            values["timestamp"].append(lexer.timestamp(data, event))
+        if "is_multiline" in values:
+            values["is_multiline"].append(lexer.is_multiline(data, event))
+        if "logtype" in values:
+            values["logtype"].append(lexer.logtype(data, event))
+        if "tokens" in self.outputs:
+            before, at, chosen = len(self.tokens), event.start, self.chosen
+            for pos, t in enumerate(event.tokens):
+                if chosen is None or t.rules and t.rules[0] in chosen:
+                    line, at = line + data.count(b"\n", at, t.start), t.start
+                    own = lexer.captures_of(data, t)
+                    self.tokens.append((data, t, pos, line))
+                    self.held.append(len(own))
+                    self.found += [(data, c) for c in own]
+            self.sizes.append(len(self.tokens) - before)
+
+    def _tokens(self, kind: pa.DataType) -> pa.Array:
+        names, of = pa.array(self.lexer.names, pa.string()), {f.name: f.type for f in kind.value_type}
+        rules = [t.rules for _, t, _, _ in self.tokens]
+        first = names.take(pa.array([r[0] if r else None for r in rules], pa.int32()))
+        every = _lists([len(r) for r in rules], names.take(pa.array([n for r in rules for n in r], pa.int32())), of["rules"])
+        captures = _structs([[c.name for _, c in self.found], [c.start for _, c in self.found], [c.end for _, c in self.found], _strings([d[c.start : c.end] for d, c in self.found]), [c.leaf for _, c in self.found]], of["captures"].value_type)
+        texts = _strings([d[t.start : t.end] for d, t, _, _ in self.tokens])
+        before = _strings([d[t.start : t.start + t.prefixed] for d, t, _, _ in self.tokens])
+        columns = [[pos for _, _, pos, _ in self.tokens], texts, first, every, [t.start for _, t, _, _ in self.tokens], [t.end for _, t, _, _ in self.tokens], [line for _, _, _, line in self.tokens], _lists(self.held, captures, of["captures"]), before]
+        return _lists(self.sizes, _structs(columns, kind.value_type), kind)
+
+    def arrays(self, arrow: pa.Schema) -> list[pa.Array]:
+        out = []
+        for c in arrow:
+            if c.name == "tokens":
+                out.append(self._tokens(c.type))
+            elif c.name in ("raw", "logtype"):
+                out.append(_strings(self.values[c.name]))
+            elif c.name in self.values:
+                out.append(pa.array(self.values[c.name], c.type))
+            else:
+                i = ("event_idx", "byte_start", "byte_end", "line_start").index(c.name)
+                out.append(pa.array([p[i] for p in self.places], c.type))
+        return out
+
+
 def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = OUTPUTS, rules: list[str] | None = None, terminal: bool = False) -> DataFrame:
     """A row for each event of each row's text, which is a whole input; with the columns of `keep` (without ones named like an output) and the outputs
     asked for.
@@ -83,22 +164,22 @@ def parse_column(df: DataFrame, schema: LogSchema, text: str = "text", keep: lis
     made = T.StructType([f for f in EVENT.fields if f.name in wanted])
     result = T.StructType([*(df.schema[c] for c in keep), *made.fields])
     arrow, chosen = to_arrow(made), None if rules is None else frozenset(rules)
+    events, counted = lexer.events if {"tokens", "logtype"} & {*wanted} else lexer.bare_events, "tokens" in wanted or "line_start" in wanted
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                rows, owner = [], []
+                built, owner = Columns(lexer, wanted, chosen), []
                 for i, data in enumerate(batch.column(text).cast(pa.binary()).to_pylist()):
                     line = 0
-                    for n, event in enumerate(lexer.events(data or b"", terminal=terminal)):
-                        rows.append(describe(lexer, data, event, 0, line, wanted, chosen) | {"event_idx": n})
+                    for n, event in enumerate(events(data or b"", terminal=terminal)):
+                        built.add(n, data, event, line)
                         owner.append(i)
-                        line += data.count(b"\n", event.start, event.end)
-                if rows:
+                        line += data.count(b"\n", event.start, event.end) if counted else 0
+                if owner:
                     taken = pa.array(owner, pa.int64())
-                    columns = [pa.array([r[c] for r in rows], arrow.field(c).type) for c in wanted]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in keep), *columns], names=result.names)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in keep), *built.arrays(arrow)], names=result.names)
 
     return df.select(*keep, text).mapInArrow(kernel, result)
 

@@ -16,6 +16,14 @@ def test_features_stay_within_texts():
     assert len(alone[0]) == 6 and len(alone[2]) == 3
 
 
+def test_sums_are_by_document():
+    matrix = np.arange(3 << 16, dtype=float).reshape(3, -1) % 977
+    for docs in ([], [""], ["", "ab", "", "x", "日本語 text", "", "ab"], ["a"] * 5):
+        found, owner = langid.features(docs)
+        want = [[row[found[owner == i]].sum() for i in range(len(docs))] for row in matrix]
+        assert langid.sums(matrix, found, owner, len(docs)).tolist() == want
+
+
 def test_scores_are_brute_force(spark):
     rows = [(i, t, l) for i, (t, l) in enumerate([("aab", "x"), ("abb", "x"), ("ccd", "y"), ("cdd", "y"), (None, "y"), ("zz", None)])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -53,11 +53,19 @@ def features(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n in ORDERS:
             fits = left[: len(value)] >= n
             mixed = (value[fits] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            found.append((mixed >> np.uint64(64 - FEATURE_BITS)).astype(np.int32))
+            found.append((mixed >> np.uint64(64 - FEATURE_BITS)).astype(np.intp))
             owner.append(docs[: len(value)][fits])
     return np.concatenate(found), np.concatenate(owner)
 
 
+def sums(matrix: np.ndarray, found: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """Languages by documents: each row's values at a document's features, added up. A document's features of one order lie side by side, so
+    each such run is added up where it lies, and only the runs are dealt to documents."""
+    runs = np.flatnonzero(np.diff(owner, prepend=-1))
+    of = owner[runs]
+    return np.stack([np.bincount(of, np.add.reduceat(row.take(found, mode="clip"), runs), docs) for row in matrix])
+
+
 def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", limit: int = TRAIN_DOCS) -> Iterator[Chunk]:
     """The model, CHUNK languages at a time; from about `limit` documents of each language at most."""
     df = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -119,7 +127,7 @@ def predict(df: DataFrame, model: Iterable[Chunk], text: str = "text") -> DataFr
                     if not first:
                         best, top, total = batch.column("__best").to_pylist(), batch.column("__top").to_numpy().copy(), batch.column("__sum").to_numpy()
                     if names:
-                        scores = np.stack([np.bincount(owner, row[found], len(docs)) for row in matrix])
+                        scores = sums(matrix, found, owner, len(docs))
                         at, own = scores.argmax(axis=0), scores.max(axis=0)
                         better = own > top
                         best = [names[i] if b else x for i, b, x in zip(at.tolist(), better.tolist(), best)]

@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .common import begin, bounded, drop_clashing, slices, texts
 
 FEATURE_BITS, ORDERS, TRAIN_DOCS = 16, (1, 2, 3), 10_000
+#: Bytes of text whose n-grams are held at once: few enough that the arrays are used again instead of coming fresh from the system.
+SLICE = 1 << 16
 #: Languages of a broadcast.
 CHUNK = 64
 _LETTER = regex.compile(r"\p{L}")
@@ -76,7 +78,7 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
         begin("langid")
         held: dict[int, np.ndarray] = {}
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE):
                 of, docs = batch.column("row").to_numpy(), [t.decode("utf-8", "replace") for t in texts(batch.column("text"))]
                 for row in np.unique(of).tolist():
                     found, _ = features([docs[i] for i in np.flatnonzero(of == row)])
@@ -119,7 +121,7 @@ def predict(df: DataFrame, model: Iterable[Chunk], text: str = "text") -> DataFr
             begin("langid")
             names, matrix = shipped.value
             for whole in batches:
-                for batch in slices(whole, text, 1 << 20):
+                for batch in slices(whole, text, SLICE):
                     docs = [t.decode("utf-8", "replace") for t in texts(batch.column(text))]
                     found, owner = features(docs)
                     best: list = [None] * len(docs)

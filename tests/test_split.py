@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from timberline.operators.kernel import Lexer
 from timberline.plans.schema import LogSchema
-from timberline.sources import read_split
+from timberline.sources import LogSource, read_split
 from timberline.sources.split import splittable
 
 HEADED = LogSchema.parse("delimiters: \\n:\nheader:(?<timestamp>\\d{2}:\\d{2})\nint:\\d+\n")
@@ -41,6 +42,24 @@ def test_ranges_give_the_events_of_whole_files(spark, tmp_path, schema, size):
         assert all(r.byte_end - r.byte_start == len(r.raw.encode()) for r in got)
 
 
+@pytest.mark.parametrize("schema", [HEADED, PLAIN])
+@pytest.mark.parametrize("size", [16, 61])
+def test_ranges_of_the_data_source_give_the_events_of_whole_files(spark, tmp_path, schema, size):
+    for i, text in enumerate(made := texts(size)):
+        (tmp_path / f"{i:03}.log").write_bytes(text.encode())
+    spark.dataSource.register(LogSource)
+    rules = f"delimiters: {schema.delimiters.encode('unicode_escape').decode()}\n" + "\n".join(f"{r.name}:{r.pattern}" for r in schema.rules)
+    read = spark.read.schema("source string, byte_start long, raw string, logtype string, tokens array<struct<text string, byte_end long>>").format("timberline").option("rules", rules).option("rangeBytes", size)
+    rows = read.load(str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) > len({r.source for r in rows})
+    lexer = Lexer(schema)
+    for i, text in enumerate(made):
+        got = sorted((r for r in rows if r.source.endswith(f"{i:03}.log")), key=lambda r: r.byte_start)
+        data = text.encode()
+        want = [(e.start, data[e.start : e.end].decode(), lexer.logtype(data, e).decode(), [(data[t.start : t.end].decode(), t.end) for t in e.tokens]) for e in lexer.events(data)]
+        assert [(r.byte_start, r.raw, r.logtype, [tuple(t) for t in r.tokens]) for r in got] == want, (i, text)
+
+
 def test_rules_over_lines_cannot_be_cut(spark, tmp_path):
     schema = LogSchema(" \n").with_rule("pair:[a-z]+\\n[a-z]+")
     assert not splittable(schema)

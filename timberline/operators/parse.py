@@ -91,19 +91,21 @@ def _structs(columns: list, kind: pa.DataType) -> pa.Array:
 class Columns:
     """The outputs of `describe` for many events, built column by column, without an object for each token."""
 
-    def __init__(self, lexer: Lexer, outputs: tuple[str, ...], rules: frozenset[str] | None):
-        self.lexer, self.outputs = lexer, outputs
+    def __init__(self, lexer: Lexer, outputs: tuple[str, ...], rules: frozenset[str] | None, parts: tuple[str, ...] = tuple(TOKEN.names)):
+        """parts: the fields of tokens that will be asked for."""
+        self.lexer, self.outputs, self.captured = lexer, outputs, "captures" in parts
         self.chosen = None if rules is None else {n for n, name in enumerate(lexer.names) if name in rules}
         self.places: list[tuple[int, int, int, int]] = []
         self.values: dict[str, list] = {c: [] for c in ("raw", "has_header", "timestamp", "is_multiline", "logtype") if c in outputs}
         self.sizes: list[int] = []
-        self.tokens: list[tuple[bytes, Token, int, int]] = []  # with their data, place and line
-        self.found: list[tuple[bytes, Capture]] = []
+        self.tokens: list[tuple[bytes, Token, int, int, int]] = []  # with their data, place, line and where the data starts
+        self.found: list[tuple[bytes, Capture, int]] = []
         self.held: list[int] = []  # captures of each token
 
-    def add(self, number: int, data: bytes, event: Event, line: int) -> None:
+    def add(self, number: int, data: bytes, event: Event, line: int, base: int = 0) -> None:
+        """base: where the data starts in its source."""
         lexer, values = self.lexer, self.values
-        self.places.append((number, event.start, event.end, line))
+        self.places.append((number, base + event.start, base + event.end, line))
         if "raw" in values:
             values["raw"].append(data[event.start : event.end])
         if "has_header" in values:
@@ -119,22 +121,30 @@ class Columns:
             for pos, t in enumerate(event.tokens):
                 if chosen is None or t.rules and t.rules[0] in chosen:
                     line, at = line + data.count(b"\n", at, t.start), t.start
-                    own = lexer.captures_of(data, t)
-                    self.tokens.append((data, t, pos, line))
-                    self.held.append(len(own))
-                    self.found += [(data, c) for c in own]
+                    self.tokens.append((data, t, pos, line, base))
+                    if self.captured:
+                        own = lexer.captures_of(data, t)
+                        self.held.append(len(own))
+                        self.found += [(data, c, base) for c in own]
             self.sizes.append(len(self.tokens) - before)
 
+    def _captures(self, kind: pa.DataType) -> pa.Array:
+        made = {
+            "name": lambda: [c.name for _, c, _ in self.found], "byte_start": lambda: [base + c.start for _, c, base in self.found], "byte_end": lambda: [base + c.end for _, c, base in self.found],
+            "text": lambda: _strings([d[c.start : c.end] for d, c, _ in self.found]), "leaf": lambda: [c.leaf for _, c, _ in self.found],
+        }
+        return _lists(self.held, _structs([made[f.name]() for f in kind.value_type], kind.value_type), kind)
+
     def _tokens(self, kind: pa.DataType) -> pa.Array:
-        names, of = pa.array(self.lexer.names, pa.string()), {f.name: f.type for f in kind.value_type}
-        rules = [t.rules for _, t, _, _ in self.tokens]
-        first = names.take(pa.array([r[0] if r else None for r in rules], pa.int32()))
-        every = _lists([len(r) for r in rules], names.take(pa.array([n for r in rules for n in r], pa.int32())), of["rules"])
-        captures = _structs([[c.name for _, c in self.found], [c.start for _, c in self.found], [c.end for _, c in self.found], _strings([d[c.start : c.end] for d, c in self.found]), [c.leaf for _, c in self.found]], of["captures"].value_type)
-        texts = _strings([d[t.start : t.end] for d, t, _, _ in self.tokens])
-        before = _strings([d[t.start : t.start + t.prefixed] for d, t, _, _ in self.tokens])
-        columns = [[pos for _, _, pos, _ in self.tokens], texts, first, every, [t.start for _, t, _, _ in self.tokens], [t.end for _, t, _, _ in self.tokens], [line for _, _, _, line in self.tokens], _lists(self.held, captures, of["captures"]), before]
-        return _lists(self.sizes, _structs(columns, kind.value_type), kind)
+        names, of, held = pa.array(self.lexer.names, pa.string()), {f.name: f.type for f in kind.value_type}, self.tokens
+        made = {
+            "pos": lambda: [pos for _, _, pos, _, _ in held], "text": lambda: _strings([d[t.start : t.end] for d, t, _, _, _ in held]),
+            "rule": lambda: names.take(pa.array([t.rules[0] if t.rules else None for _, t, _, _, _ in held], pa.int32())),
+            "rules": lambda: _lists([len(t.rules) for _, t, _, _, _ in held], names.take(pa.array([n for _, t, _, _, _ in held for n in t.rules], pa.int32())), of["rules"]),
+            "byte_start": lambda: [base + t.start for _, t, _, _, base in held], "byte_end": lambda: [base + t.end for _, t, _, _, base in held], "line": lambda: [line for _, _, _, line, _ in held],
+            "captures": lambda: self._captures(of["captures"]), "delimiter": lambda: _strings([d[t.start : t.start + t.prefixed] for d, t, _, _, _ in held]),
+        }
+        return _lists(self.sizes, _structs([made[f.name]() for f in kind.value_type], kind.value_type), kind)
 
     def arrays(self, arrow: pa.Schema) -> list[pa.Array]:
         out = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,26 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.kernel import Lexer, StreamParser
-from ..operators.parse import EVENT, OUTPUTS, describe, to_arrow
+from ..operators.kernel import Lexer
+from ..operators.parse import EVENT, OUTPUTS, to_arrow
 from ..plans.schema import LogSchema
+from .pieces import event_batches, located, pieces_of, range_batches
+from .split import splittable
 
-PIECE, ROWS = 1 << 20, 512
-
-
-def events_of(lexer: Lexer, pieces: Iterable[bytes], outputs: tuple[str, ...]) -> Iterator[dict]:
-    """The events of an input that comes in pieces, as rows of the outputs; event_idx counts from 0."""
-    parser, number, line = StreamParser(lexer), 0, 0
-
-    def rows(piece: bytes, finished: bool = False) -> Iterator[dict]:
-        nonlocal number, line
-        for base, data, event in parser.feed(piece, finished):
-            yield describe(lexer, data, event, base, line, outputs) | {"event_idx": number}
-            number, line = number + 1, line + data.count(b"\n", event.start, event.end)
-
-    for piece in pieces:
-        yield from rows(piece)
-    yield from rows(b"", True)
+RANGE = 16 << 20
 
 
 def read_callback(spark: SparkSession, readers: dict[str, Callable[[], Iterable[bytes]]], schema: LogSchema, outputs: tuple[str, ...] = OUTPUTS) -> DataFrame:
@@ -43,14 +31,7 @@ def read_callback(spark: SparkSession, readers: dict[str, Callable[[], Iterable[
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("source").to_pylist():
-                held: list[dict] = []
-                for row in events_of(lexer, readers[name](), wanted):
-                    held.append({c: row[c] for c in wanted} | {"source": name})
-                    if len(held) == ROWS:
-                        yield pa.RecordBatch.from_pylist(held, arrow)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, arrow)
+                yield from event_batches(lexer, readers[name](), arrow, name)
 
     if not readers:
         return spark.createDataFrame([], result)
@@ -65,8 +46,13 @@ def read_until(spark: SparkSession, path: str, delimiter: str = "\n", **options:
 
 
 class LogSource(DataSource):
-    """spark.dataSource.register(LogSource), then spark.read.format("timberline").option("rules", schema text).load(path): a task for each file of a
-    folder or each of one file; any file system that Arrow reads."""
+    """spark.dataSource.register(LogSource), then spark.read.format("timberline").option("rules", schema text).load(path): the files of a folder, or one
+    file; any file system that Arrow reads.
+
+    Only what the reader's schema names is made: spark.read.schema("raw string, tokens array<struct<text string>>") leaves out other columns and other fields
+    of tokens. Counts over a file (event_idx, line_start, a token's line) make it one task's work, as do compression and rules that can match a line feed;
+    without them, ranges of files are read by tasks of their own (option rangeBytes, 16 MB).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -76,34 +62,45 @@ class LogSource(DataSource):
         return T.StructType([T.StructField("source", T.StringType()), *EVENT.fields])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _LogReader(self.options["path"], self.options["rules"], schema.names)
+        return _LogReader(self.options["path"], self.options["rules"], schema, int(self.options.get("rangeBytes", RANGE)))
+
+
+@functools.lru_cache(maxsize=8)
+def _lexer(rules: str) -> Lexer:
+    return Lexer(LogSchema.parse(rules))
 
 
 class _LogReader(DataSourceReader):
-    def __init__(self, path: str, rules: str, columns: list[str]):
-        self.path, self.rules, self.columns = path, rules, columns
+    def __init__(self, path: str, rules: str, schema: T.StructType, step: int):
+        self.path, self.rules, self.schema, self.step = path, rules, schema, step
 
-    def _open(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("/") else f"file:{self.path}")
+    def _split(self) -> bool:
+        tokens = self.schema["tokens"].dataType.elementType.names if "tokens" in self.schema.names else []
+        counts = {"event_idx", "line_start"} & {*self.schema.names} or "line" in tokens
+        return not counts and splittable(LogSchema.parse(self.rules))
 
     def partitions(self) -> list[InputPartition]:
-        system, path = self._open()
+        system, path = located(self.path)
         info = system.get_file_info(path)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
-        return [InputPartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", "."))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        system, _ = self._open()
-        lexer, outputs = Lexer(LogSchema.parse(self.rules)), tuple(c for c in OUTPUTS if c in self.columns)
-        with system.open_input_stream(partition.value) as file:
-            for row in events_of(lexer, iter(lambda: file.read(PIECE), b""), outputs):
-                yield tuple(partition.value if c == "source" else _plain(row[c], EVENT[c].dataType) for c in self.columns)
-
-
-def _plain(value, kind: T.DataType):
-    """Dictionaries as the tuples that Spark takes for structs."""
-    if isinstance(kind, T.ArrayType) and value is not None:
-        return [_plain(x, kind.elementType) for x in value]
-    if isinstance(kind, T.StructType) and value is not None:
-        return tuple(_plain(value[f.name], f.dataType) for f in kind.fields)
-    return value
+        split = self._split()
+        files = [f for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", "."))]
+        return [InputPartition((f.path, at)) for f in files for at in (range(0, f.size, self.step) if split and not _compressed(f.path) else [None])]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        (system, _), (path, at) = located(self.path), partition.value
+        lexer, arrow = _lexer(self.rules), to_arrow(self.schema)
+        if at is None:
+            with system.open_input_stream(path) as file:
+                yield from event_batches(lexer, pieces_of(file), arrow, path)
+        else:
+            with system.open_input_file(path) as file:
+                yield from range_batches(lexer, file, at, self.step, arrow, path)
+
+
+def _compressed(path: str) -> bool:
+    """Whether Arrow opens a path through a codec."""
+    try:
+        return bool(pa.Codec.detect(path))
+    except (TypeError, ValueError):
+        return False

@@ -174,6 +174,26 @@ def test_files(spark, tmp_path):
     assert sorted((r.source[-5:], r.event_idx) for r in got.collect()) == [("a.log", 0), ("a.log", 1), ("b.log", 0), ("b.log", 1), ("b.log", 2), ("b.log", 3)]
 
 
+def test_files_are_read_by_pieces(spark, tmp_path):
+    """A task reads a file itself, so no row holds one."""
+    (tmp_path / "a %20é").mkdir()
+    text = LOG * 9_000 + "last"  # some pieces
+    (tmp_path / "a %20é" / "b c.log").write_text(text)
+    (tmp_path / "a %20é" / "empty.log").write_text("")
+    got = read_logs(spark, str(tmp_path / "a %20é"), queries.LINES, ("event_idx", "byte_start", "line_start", "raw", "is_multiline"))
+    assert "content" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.orderBy("event_idx").collect()
+    want = parse.parse_column(spark.createDataFrame([(text,)], "text string"), queries.LINES, outputs=("event_idx", "byte_start", "line_start", "raw", "is_multiline"))
+    assert [r[1:] for r in rows] == want.orderBy("event_idx").collect() and rows[0].source.endswith("/a %20é/b c.log")
+
+
+def test_files_that_arrow_cannot_open(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.log").write_text(LOG)
+    got = read_logs(spark, str(tmp_path), queries.LINES).collect()
+    monkeypatch.setattr("timberline.sources.logs._opens", lambda path: False)
+    assert read_logs(spark, str(tmp_path), queries.LINES).collect() == got and len(got) == 2
+
+
 def test_search(spark):
     df = spark.createDataFrame([("a%b",), ("axb",), ("a*b",), ("a\\b",)], "raw string")
     for query, want in (("a?b", 4), ("a%b", 1), (r"a\*b", 1), ("*", 4), (r"a\\b", 1)):

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from timberline.operators.kernel import Lexer
 from timberline.plans.schema import LogSchema
 from timberline.sources import LogSource, read_callback, read_logs, read_until, write_raw
 from timberline.streaming import parse_stream
+from timberline.streaming.parse_stream import in_order
 
 LOG = "2024-01-01 00:00:00.000001 ERROR user_7 value=1.50 props={\"k\": 3}\n#0 frame\n#1 frame\n2024-01-01 00:00:00.000002 VIEW user_8 value=2.00 props={\"k\": 4}\n"
 ODD = ["", "\n", "\n\n\na 1\n", " 12 a", "a\r\n12\r\n", "é1 12é 1é2", "12", "\n12\n\n13x", "a:b,c 1.5!"]
@@ -236,6 +238,40 @@ def test_streamed_tokens(spark, tmp_path):
     assert [(r.event_idx, r.u) for r in got] == [(0, "7"), (1, "8"), (2, "7")]
 
 
+@pytest.mark.parametrize("run, width", [(1 << 20, 64), (1, 3), (3_000, 2)])
+def test_pieces_are_put_in_order_by_runs(monkeypatch, run, width):
+    monkeypatch.setitem(in_order.__globals__, "RUN", run)
+    monkeypatch.setitem(in_order.__globals__, "WIDTH", width)
+    monkeypatch.setitem(in_order.__globals__, "CHUNK", 200)
+    pick, taken = random.Random(9), []
+    frames = [pd.DataFrame([(pick.choice([None, *range(30)]), f"{i}.{n}" if n % 7 else None) for n in range(pick.randint(1, 40))], columns=["seq", "text"]) for i in range(40)]
+    want = pd.concat(frames).sort_values("seq", kind="stable")["text"].fillna("").tolist()
+
+    def seen():
+        for f in frames:
+            taken.append(len(f))
+            yield f
+
+    assert list(in_order(seen(), "seq", "text")) == want and len(taken) == 40
+    assert list(in_order([], "seq", "text")) == []
+
+
+def test_a_key_of_many_pieces(spark, tmp_path):
+    """Pieces come out of order in many Arrow batches; the state comes after the last of many events."""
+    lines = [line + "\n" for line in (LOG * 3_000).splitlines()]
+    spark.createDataFrame([("x", n, t) for n, t in enumerate(lines)], "k string, seq int, text string").orderBy(F.hash("seq")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        source = spark.readStream.schema("k string, seq int, text string").parquet(str(tmp_path / "in"))
+        query = parse_stream(source, queries.LINES, "k", outputs=("raw",)).writeStream.format("memory").queryName("streamed_many").option("checkpointLocation", str(tmp_path / "cp"))
+        query.trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = spark.table("streamed_many").orderBy("event_idx").collect()
+    want = [r.raw for r in parse.parse_column(spark.createDataFrame([(LOG * 3_000,)], "text string"), queries.LINES, outputs=("event_idx", "raw")).orderBy("event_idx").collect()]
+    assert [r.event_idx for r in got] == list(range(5_999)) and [r.raw for r in got] == want[:-1]
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 

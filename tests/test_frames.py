@@ -210,6 +210,23 @@ def test_sql_functions(spark):
     assert [(r.event_idx, r.is_multiline) for r in rows] == [(0, True), (1, False)]
 
 
+def test_sql_functions_share_a_pass(spark):
+    """Both functions of a text are one step of the plan, and get its events once; nulls and texts of several events included."""
+    register(spark, queries.LINES, "s_")
+    texts = [LOG, None, "", "ERROR user_9", *(f"VIEW user_{n} é" for n in range(300))]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "s_logtype(text) as l", "s_log_tokens(text) as t")
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    lexer = Lexer(queries.LINES)
+    for r in got.collect():
+        if texts[r.id] is None:
+            assert r.l is None and r.t is None
+            continue
+        data = texts[r.id].encode()
+        events = list(lexer.events(data))
+        assert r.l == b"".join(lexer.logtype(data, e) for e in events).decode()
+        assert [(t.text, t.rule) for t in r.t] == [(data[t.start : t.end].decode(), lexer.names[t.rules[0]] if t.rules else None) for e in events for t in e.tokens]
+
+
 def test_stream_is_batch(spark, tmp_path):
     text, pieces = LOG * 5, []
     for k in ("x", "y"):

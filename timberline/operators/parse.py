@@ -71,7 +71,7 @@ def describe(lexer: Lexer, data: bytes, event: Event, base: int, line: int, outp
     return out
 
 
-def _strings(found: list[bytes | None]) -> pa.Array:
+def strings(found: list[bytes | None]) -> pa.Array:
     """Texts of bytes; what isn't UTF-8 is replaced."""
     try:
         return pa.array(found, pa.binary()).cast(pa.string())
@@ -131,18 +131,18 @@ class Columns:
     def _captures(self, kind: pa.DataType) -> pa.Array:
         made = {
             "name": lambda: [c.name for _, c, _ in self.found], "byte_start": lambda: [base + c.start for _, c, base in self.found], "byte_end": lambda: [base + c.end for _, c, base in self.found],
-            "text": lambda: _strings([d[c.start : c.end] for d, c, _ in self.found]), "leaf": lambda: [c.leaf for _, c, _ in self.found],
+            "text": lambda: strings([d[c.start : c.end] for d, c, _ in self.found]), "leaf": lambda: [c.leaf for _, c, _ in self.found],
         }
         return _lists(self.held, _structs([made[f.name]() for f in kind.value_type], kind.value_type), kind)
 
     def _tokens(self, kind: pa.DataType) -> pa.Array:
         names, of, held = pa.array(self.lexer.names, pa.string()), {f.name: f.type for f in kind.value_type}, self.tokens
         made = {
-            "pos": lambda: [pos for _, _, pos, _, _ in held], "text": lambda: _strings([d[t.start : t.end] for d, t, _, _, _ in held]),
+            "pos": lambda: [pos for _, _, pos, _, _ in held], "text": lambda: strings([d[t.start : t.end] for d, t, _, _, _ in held]),
             "rule": lambda: names.take(pa.array([t.rules[0] if t.rules else None for _, t, _, _, _ in held], pa.int32())),
             "rules": lambda: _lists([len(t.rules) for _, t, _, _, _ in held], names.take(pa.array([n for _, t, _, _, _ in held for n in t.rules], pa.int32())), of["rules"]),
             "byte_start": lambda: [base + t.start for _, t, _, _, base in held], "byte_end": lambda: [base + t.end for _, t, _, _, base in held], "line": lambda: [line for _, _, _, line, _ in held],
-            "captures": lambda: self._captures(of["captures"]), "delimiter": lambda: _strings([d[t.start : t.start + t.prefixed] for d, t, _, _, _ in held]),
+            "captures": lambda: self._captures(of["captures"]), "delimiter": lambda: strings([d[t.start : t.start + t.prefixed] for d, t, _, _, _ in held]),
         }
         return _lists(self.sizes, _structs([made[f.name]() for f in kind.value_type], kind.value_type), kind)
 
@@ -152,7 +152,7 @@ class Columns:
             if c.name == "tokens":
                 out.append(self._tokens(c.type))
             elif c.name in ("raw", "logtype"):
-                out.append(_strings(self.values[c.name]))
+                out.append(strings(self.values[c.name]))
             elif c.name in self.values:
                 out.append(pa.array(self.values[c.name], c.type))
             else:
